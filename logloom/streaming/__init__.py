@@ -1,0 +1 @@
+"""Nothing here: every operator of the feature list works on a finished table."""
