@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "window_queries",
+    "source_queries",
 )
 
 

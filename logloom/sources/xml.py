@@ -83,35 +83,44 @@ def _joined(entries: Column, separator: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), separator)
 
 
-def event_fields(event: Column) -> Column:
-    """Map of System fields, EventData fields and ``Content`` (``name=value`` joined by ``|``).
+def event_fields(events: DataFrame, event: str = "event") -> DataFrame:
+    """Replace the parsed event by ``fields``: a map of System fields, EventData fields and
+    ``Content`` (``name=value`` joined by ``|``)."""
+    parsed = F.col(event)
+    data = events.withColumn("_data", _data_entries(parsed)).withColumn("_system", _system_entries(parsed))
+    content = F.array(_entry("Content", _joined(F.col("_data"), "|")))
+    return _to_map(data.withColumn("_entries", F.concat("_system", "_data", content))).drop(event)
 
-    A repeated or shared name keeps the value that comes last.
-    """
-    data = _data_entries(event)
-    content = F.array(_entry("Content", _joined(data, "|")))
-    return _last_wins(F.concat(_system_entries(event), data, content))
 
-
-def event_fields_channel_in_content(event: Column) -> Column:
+def event_fields_channel_in_content(events: DataFrame, event: str = "event") -> DataFrame:
     """Older form: Channel leads the ``;``-joined ``Content`` and EventData makes no fields."""
-    channel = event["System"]["Channel"]["_VALUE"]
+    parsed = F.col(event)
+    channel = parsed["System"]["Channel"]["_VALUE"]
     head = F.when(
         F.coalesce(channel, F.lit("")) != "", F.array(_entry("Channel", clean_text(channel)))
     ).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    content = _joined(F.concat(head, _data_entries(event)), ";")
-    return _last_wins(F.concat(_system_entries(event, skip=("Channel",)), F.array(_entry("Content", content))))
+    data = events.withColumn("_data", F.concat(head, _data_entries(parsed))).withColumn(
+        "_system", _system_entries(parsed, skip=("Channel",))
+    )
+    content = F.array(_entry("Content", _joined(F.col("_data"), ";")))
+    return _to_map(data.withColumn("_entries", F.concat("_system", content))).drop(event)
 
 
-def _last_wins(entries: Column) -> Column:
-    """Build a map from entries in which a later key replaces an earlier one."""
-    last = F.filter(
+def _to_map(df: DataFrame) -> DataFrame:
+    """Map from entries; of a repeated key the last value stays."""
+    entries = F.col("_entries")
+    keys = F.transform(entries, lambda e: e["key"])
+    repeated = F.size(F.array_distinct(keys)) < F.size(entries)
+    empty = F.create_map().cast("map<string,string>")
+    replaced = F.aggregate(
         entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
+        empty,
+        lambda m, e: F.map_concat(
+            F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])
         ),
     )
-    return F.map_from_entries(last)
+    fields = F.when(repeated, replaced).otherwise(F.map_from_entries(entries))
+    return df.withColumn("fields", fields).drop("_data", "_system", "_entries")
 
 
 def field_names(records: DataFrame, fields: str = "fields", common: bool = True) -> DataFrame:
