@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "window_queries",
     "source_queries",
+    "split_queries",
 )
 
 

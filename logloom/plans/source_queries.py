@@ -355,7 +355,7 @@ def p2_mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "p3_tokenize",
     """SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens
-    FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '') AS t FROM documents)""",
+    FROM (SELECT doc_id, [x FOR x IN regexp_split_to_array(text, '\\s+') IF x <> ''] AS t FROM documents)""",
 )
 def p3_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.table(spark, sf_dir, "documents").select("doc_id", text.tokenize("text").alias("t"))
@@ -366,8 +366,8 @@ def p3_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p3_tokenize_on_punctuation",
     with_views(
         views.TEXT,
-        r"""SELECT line, array_to_string(list_filter(regexp_split_to_array(content || '; <*> ' || message,
-             '[-!"#$%&''()+,./:;=?@\[\]^_`{|}~]'), x -> trim(x) <> ''), '~') AS tokens FROM text_v""",
+        r"""SELECT line, array_to_string([x FOR x IN regexp_split_to_array(content || '; <*> ' || message,
+             '[-!"#$%&''()+,./:;=?@\[\]^_`{|}~]') IF trim(x) <> ''], '~') AS tokens FROM text_v""",
     ),
 )
 def p3_tokenize_on_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,7 +664,7 @@ _NUMBER_LINES = """, lines AS (SELECT line, CASE event_type
     WHEN 'click' THEN '' WHEN 'error' THEN CASE WHEN label_flag = 1 THEN 'nan 3' ELSE '-inf' END
     WHEN 'signup' THEN 'x' || line || ' 2,5' ELSE CAST(line % 977 AS VARCHAR) END AS raw FROM log_v),
   parts AS (SELECT line, unnest(string_split(t, ',')) AS p FROM (
-    SELECT line, unnest(list_filter(string_split(raw, ' '), x -> x <> '')) AS t FROM lines)),
+    SELECT line, unnest([x FOR x IN string_split(raw, ' ') IF x <> '']) AS t FROM lines)),
   v AS (SELECT line, TRY_CAST(p AS DOUBLE) AS v FROM parts),
   bad AS (SELECT DISTINCT line FROM v WHERE v IS NULL OR isnan(v) OR isinf(v)),
   f AS (SELECT v FROM v WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v))"""
