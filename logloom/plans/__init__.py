@@ -6,6 +6,9 @@ MODULES = (
     "window_queries",
     "source_queries",
     "split_queries",
+    "vocab_queries",
+    "model_queries",
+    "detector_queries",
 )
 
 

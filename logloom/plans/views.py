@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.order import index_rows, line_block
 from logloom.functions.text import binary_label
 from logloom.operators.splits import ratio_split
 from logloom.operators.windows import delta_t, time_windows
+from logloom.session import written
 
 WINDOW_SECONDS, STEP_SECONDS = 3600, 1200
 
@@ -58,8 +60,24 @@ def sequences(members: DataFrame) -> DataFrame:
     )
 
 
+def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window rows with their position in the window, written once for several readers."""
+    members = window_rows(spark, sf_dir)
+    placed = index_rows(members, [F.col("line")], [line_block("line")], ["seq_id"], "pos")
+    gap = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col("dt"))
+    return written(placed.withColumn("dt", gap), "windows")
+
+
+def split_windows(spark: SparkSession, sf_dir: str, ratio: float = 0.6) -> DataFrame:
+    """Stored window rows with the split and the label of their sequence."""
+    members = stored_windows(spark, sf_dir)
+    split = split_sequences(members, ratio).select("seq_id", "split", "label")
+    return members.drop("label").join(split, "seq_id")
+
+
 def split_sequences(members: DataFrame, ratio: float = 0.6, seed: int = 42) -> DataFrame:
-    return ratio_split(sequences(members), "seq_id", ratio, seed)
+    """Ratio split of the windows; the one row per window is written before its three readers."""
+    return ratio_split(written(sequences(members), "sequences"), "seq_id", ratio, seed)
 
 
 def text_view(spark: SparkSession, sf_dir: str) -> DataFrame:
