@@ -35,54 +35,38 @@ def index_rows(
     blocks: Sequence[Column],
     partition_by: Sequence[str] = (),
     name: str = "row_index",
+    previous: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 0-based position of each row within ``partition_by`` under ``order_by``.
 
-    ``blocks`` must never decrease along ``order_by``.  Keys must not be null.
+    ``blocks`` must never decrease along ``order_by``.  Keys must not be null.  With ``previous``,
+    the struct of these columns of the row before comes along as ``previous`` (null for the first
+    row of a partition); ``order_by`` must then be a single column.
     """
     parts = list(partition_by)
     keys = [f"_block{i}" for i in range(len(blocks))]
     tagged = df.withColumns(dict(zip(keys, blocks)))
-    before = Window.partitionBy(*parts).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*parts, *keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*parts, *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
+    along = Window.partitionBy(*parts).orderBy(*keys)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*parts, *keys).orderBy(*order_by)
-    return (
-        tagged.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(offsets, [*parts, *keys])
+    row = F.struct(*[F.col(c) for c in previous]) if previous else None
+
+    sums = [F.count(F.lit(1)).alias("_n")]
+    carried = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")]
+    added = {"_inside": F.row_number().over(inside) - 1}
+    if previous:
+        sums.append(F.max_by(row, order_by[0]).alias("_last"))
+        carried.append(F.lag("_last").over(along).alias("_carry"))
+        added["_before"] = F.lag(row).over(inside)
+    small = tagged.groupBy(*parts, *keys).agg(*sums).select(*parts, *keys, *carried)
+    out = (
+        tagged.withColumns(added)
+        .join(small, [*parts, *keys])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_inside", "_offset", *keys)
-    )
-
-
-def with_previous(
-    df: DataFrame,
-    order_by: str,
-    columns: Sequence[str],
-    partition_by: Sequence[str] = (),
-    block: Column | None = None,
-    name: str = "previous",
-) -> DataFrame:
-    """Add the struct of ``columns`` of the row before, null for the first row of a partition."""
-    parts = list(partition_by)
-    tagged = df.withColumn("_block", line_block(order_by) if block is None else block)
-    row = F.struct(*[F.col(c) for c in columns])
-    along = Window.partitionBy(*parts).orderBy("_block")
-    carry = (
-        tagged.groupBy(*parts, "_block")
-        .agg(F.max_by(row, F.col(order_by)).alias("_last"))
-        .select(*parts, "_block", F.lag("_last").over(along).alias("_carry"))
-    )
-    inside = Window.partitionBy(*parts, "_block").orderBy(order_by)
-    return (
-        tagged.withColumn("_before", F.lag(row).over(inside))
-        .join(carry, [*parts, "_block"])
-        .withColumn(name, F.coalesce("_before", "_carry"))
-        .drop("_before", "_carry", "_block")
     )
+    if previous:
+        out = out.withColumn("previous", F.coalesce("_before", "_carry"))
+    return out.drop("_inside", "_offset", "_before", "_carry", *keys)
 
 
 def choose_first(

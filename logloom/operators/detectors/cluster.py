@@ -1,9 +1,9 @@
 """Clusters of count vectors by cosine distance; a vector far from every cluster is an anomaly.
 
-A bounded bootstrap sample is clustered by complete linkage.  The reference's second phase visits
-rows one by one; here every partition of the distinct remaining vectors does so against the fixed
-bootstrap clusters and its own new ones, and the new ones of all partitions are then treated as
-weighted vectors in further rounds.  The score is exact for the clusters found.
+A bounded bootstrap sample is clustered by complete linkage.  Instead of visiting the other rows one
+by one, every partition of the distinct remaining vectors does so against the fixed bootstrap
+clusters and its own new ones, and the new ones of all partitions are then treated as weighted
+vectors in further rounds.  The score is exact for the clusters found.
 """
 
 from __future__ import annotations

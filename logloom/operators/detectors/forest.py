@@ -27,9 +27,10 @@ def tree_samples(vectors: DataFrame, row_id: str, trees: int, rows: int, seed: i
         F.transform(
             F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), key(t).alias("key"))
         ),
-        lambda d: d["key"] <= bound,
+        lambda d: d["key"] <= F.col("_bound"),
     )
-    drawn = vectors.select(row_id, "values", F.explode(draws).alias("_d")).select(row_id, "values", "_d.*")
+    bounded = vectors.withColumn("_bound", bound)
+    drawn = bounded.select(row_id, "values", F.explode(draws).alias("_d")).select(row_id, "values", "_d.*")
     place = Window.partitionBy("tree").orderBy("key", row_id)
     return drawn.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= rows).drop("_place", "key")
 

@@ -7,30 +7,32 @@ session in one value, and counting needs no arrays.  ``window_arrays`` builds th
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.order import index_rows, line_block, with_previous
+from logloom.functions.order import index_rows, line_block
 
 
 # --- time gaps ---------------------------------------------------------------------------------
 
 
-def delta_t(df: DataFrame, partition_by: Sequence[str] = (), micros: str = "ts_us") -> DataFrame:
-    """Seconds since the row before in file order, 0 for the first row.
-
-    Gaps never reach across projects, nor are they replaced by the epoch.
+def ordered_rows(df: DataFrame, partition_by: Sequence[str] = ("project",), micros: str = "ts_us") -> DataFrame:
+    """Add ``row_index`` (place in the project, in file order) and ``dt``: seconds since the row
+    before, 0 for the first row.  Gaps never reach across projects, nor does the epoch replace them.
     """
     gap = (F.col(micros) - F.col(f"previous.{micros}")) / F.lit(1e6)
-    return (
-        with_previous(df, "line", [micros], partition_by)
-        .withColumn("dt", F.coalesce(gap, F.lit(0.0)))
-        .drop("previous")
+    indexed = index_rows(
+        df, [F.col("line")], [line_block("line")], partition_by, previous=[micros]
     )
+    return indexed.withColumn("dt", F.coalesce(gap, F.lit(0.0))).drop("previous")
+
+
+def delta_t(df: DataFrame, partition_by: Sequence[str] = (), micros: str = "ts_us") -> DataFrame:
+    return ordered_rows(df, partition_by, micros).drop("row_index")
 
 
 # --- data-anchored time windows ----------------------------------------------------------------
@@ -76,24 +78,6 @@ def _walk_blocks(parts: int):
     return run
 
 
-def _chain_starts(step: int):
-    def run(key: tuple, seconds: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        columns = list(seconds.columns[: len(key) - 1])
-        starts: list[int] = []
-        if len(entry):
-            values = np.sort(seconds["t"].to_numpy())
-            at = np.searchsorted(values, entry["entry"].iloc[0])
-            while at < len(values):
-                starts.append(values[at])
-                at = np.searchsorted(values, values[at] + step)
-        out = pd.DataFrame({"start": np.asarray(starts, dtype="int64")})
-        for name, part in zip(columns, key):
-            out[name] = part
-        return out[[*columns, "start"]]
-
-    return run
-
-
 def time_window_starts(
     df: DataFrame, step: int, partition_by: Sequence[str] = ("project",), block_seconds: int | None = None
 ) -> DataFrame:
@@ -101,7 +85,9 @@ def time_window_starts(
 
     The chain is sequential, so distinct seconds are cut into blocks of fixed length: every block
     tells in parallel where the chain would leave it for each second at which it could enter (all
-    within ``step`` of its begin); walking these short maps gives the one entry per block.
+    within ``step`` of its begin); walking these short maps gives the one entry per block, from which
+    the starts inside the block follow.  Returns the keys, ``start`` and ``first_index``, the
+    ``row_index`` of the first row of that second.
     """
     if step <= 0:
         raise ValueError("step must be positive")
@@ -109,17 +95,33 @@ def time_window_starts(
     parts = list(partition_by)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keys = "".join(f"`{p}` {types[p]}, " for p in parts)
-    seconds = df.select(*parts, F.floor(F.col("t") / length).alias("block"), "t").distinct()
-    exits = seconds.groupBy(*parts, "block").applyInPandas(
-        _chain_exits(step, length), f"{keys}block long, entry long, leave long"
+    seconds = df.groupBy(*parts, F.floor(F.col("t") / length).alias("block"), "t").agg(
+        F.min("row_index").alias("first_index")
+    )
+    exits = (
+        seconds.select(*parts, "block", "t")
+        .groupBy(*parts, "block")
+        .applyInPandas(_chain_exits(step, length), f"{keys}block long, entry long, leave long")
     )
     entries = exits.groupBy(*parts).applyInPandas(
         _walk_blocks(len(parts)), f"{keys}block long, entry long"
     )
+    nothing = F.array().cast("array<struct<t:bigint,first_index:bigint>>")
+    chain = F.aggregate(
+        "_seconds",
+        F.struct(F.col("entry").alias("wanted"), nothing.alias("starts")),
+        lambda have, s: F.when(
+            s["t"] >= have["wanted"],
+            F.struct((s["t"] + step).alias("wanted"), F.array_append(have["starts"], s).alias("starts")),
+        ).otherwise(have),
+        lambda have: have["starts"],
+    )
     return (
         seconds.groupBy(*parts, "block")
-        .cogroup(entries.groupBy(*parts, "block"))
-        .applyInPandas(_chain_starts(step), f"{keys}start long")
+        .agg(F.array_sort(F.collect_list(F.struct("t", "first_index"))).alias("_seconds"))
+        .join(entries, [*parts, "block"])
+        .select(*parts, F.explode(chain).alias("_s"))
+        .select(*parts, F.col("_s.t").alias("start"), F.col("_s.first_index").alias("first_index"))
     )
 
 
@@ -141,10 +143,22 @@ def window_membership(
 def time_windows(
     df: DataFrame, size: int, step: int, partition_by: Sequence[str] = ("project",)
 ) -> DataFrame:
-    """Data-anchored sliding windows in long form; trailing partial windows are kept."""
+    """Data-anchored sliding windows in long form; trailing partial windows are kept.
+
+    ``pos`` is the place in the window: a window is a run of the project's rows, so it is the
+    distance of the row from the window's first row and needs no sort per window.
+    """
     if size <= 0:
         raise ValueError("size must be positive")
-    return window_membership(df, time_window_starts(df, step, partition_by), size, partition_by)
+    rows = df
+    if "row_index" not in df.columns:
+        rows = index_rows(df, [F.col("line")], [line_block("line")], partition_by)
+    starts = time_window_starts(rows, step, partition_by)
+    return (
+        window_membership(rows, starts, size, partition_by)
+        .withColumn("pos", F.col("row_index") - F.col("first_index"))
+        .drop("row_index", "first_index")
+    )
 
 
 # --- count windows -----------------------------------------------------------------------------
@@ -158,7 +172,9 @@ def count_windows(
     if size <= 0 or step <= 0:
         raise ValueError("size and step must be positive")
     parts = list(partition_by)
-    indexed = index_rows(df, [F.col("line")], [line_block("line")], parts)
+    indexed = df
+    if "row_index" not in df.columns:
+        indexed = index_rows(df, [F.col("line")], [line_block("line")], parts)
     totals = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"))
     first = F.greatest(F.lit(0), F.ceil((F.col("row_index") - size + 1) / step))
     last = F.least(F.floor(F.col("row_index") / step), F.floor((F.col("_rows") - size) / step))

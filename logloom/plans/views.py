@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.order import index_rows, line_block
 from logloom.functions.text import binary_label
 from logloom.operators.splits import ratio_split
-from logloom.operators.windows import delta_t, time_windows
+from logloom.operators.windows import ordered_rows, time_windows
 from logloom.session import written
 
 WINDOW_SECONDS, STEP_SECONDS = 3600, 1200
@@ -41,9 +40,9 @@ def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows ready for windows: project, line, t, event, dt, label (0/1)."""
+    """Rows ready for windows: project, line, row_index, t, event, dt, label (0/1)."""
     log = log_view(spark, sf_dir).withColumn("label", binary_label("Label"))
-    return delta_t(log.select("project", "line", "ts_us", "t", "event", "label"), ["project"])
+    return ordered_rows(log.select("project", "line", "ts_us", "t", "event", "label"), ["project"])
 
 
 def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +60,9 @@ def sequences(members: DataFrame) -> DataFrame:
 
 
 def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The window rows with their position in the window, written once for several readers."""
-    members = window_rows(spark, sf_dir)
-    placed = index_rows(members, [F.col("line")], [line_block("line")], ["seq_id"], "pos")
+    """The window rows, the first gap of each window at 0, written once for several readers."""
     gap = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col("dt"))
-    return written(placed.withColumn("dt", gap), "windows")
+    return written(window_rows(spark, sf_dir).withColumn("dt", gap), "windows")
 
 
 def split_windows(spark: SparkSession, sf_dir: str, ratio: float = 0.6) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.order import index_rows, line_block
 from logloom.functions.text import block_ids
 from logloom.operators import profile, windows
 from logloom.plans import views
@@ -25,7 +24,8 @@ def joined(array, transform=lambda v: v.cast("string")):
     with_views(views.ROWS, "SELECT project, line, event, dt_us FROM rows_v"),
 )
 def w1_delta_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.model_rows(spark, sf_dir)
+    log = views.log_view(spark, sf_dir).select("project", "line", "event", "ts_us")
+    rows = windows.delta_t(log, ["project"])
     return rows.select("project", "line", "event", micros(F.col("dt")).alias("dt_us"))
 
 
