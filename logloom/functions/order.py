@@ -123,6 +123,7 @@ def exact_percentiles(
     """Percentiles with linear interpolation, one row ``(p, value)`` per probability.
 
     A sketch brackets each percentile; only the values inside the brackets are counted and sorted.
+    The brackets are four times as wide as the sketch may err; with few values they hold all.
     """
     probs = [float(p) for p in probabilities]
     data = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
@@ -137,8 +138,9 @@ def exact_percentiles(
     bounds = data.withColumn("s", sketch.scalar())
     frames = []
     for i, p in enumerate(probs):
-        low = F.when(F.lit(p) <= slack, F.col("s.lo")).otherwise(F.col("s.e")[2 * i])
-        high = F.when(F.lit(p) >= 1 - slack, F.col("s.hi")).otherwise(F.col("s.e")[2 * i + 1])
+        few = F.col("s.n") < 10 * accuracy
+        low = F.when(few | F.lit(p <= slack), F.col("s.lo")).otherwise(F.col("s.e")[2 * i])
+        high = F.when(few | F.lit(p >= 1 - slack), F.col("s.hi")).otherwise(F.col("s.e")[2 * i + 1])
         frames.append(
             F.struct(
                 F.lit(p).alias("p"),

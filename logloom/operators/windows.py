@@ -221,8 +221,9 @@ def hourly_windows(
     """Sliding windows whose ends move from the last row of window 0: ``(members, windows)``.
 
     Window 0 is ``[t0, t0+size)`` and ends at row time ``tl``; window k ≥ 1 holds the rows with
-    ``min(t0+k·step, tl+(k-1)·step) <= t < tl+k·step``.  Empty windows are rows of ``windows``;
-    when window 0 holds every row there is none at all.
+    ``min(t0+k·step, e) <= t < tl+k·step``, where e is the end before it: ``tl+(k-1)·step``, or
+    ``t0+size`` for k = 1.  Empty windows are rows of ``windows``; when window 0 holds every row
+    there is none at all.
     """
     size, step = int(size_hours * 3600), int(step_hours * 3600)
     parts = list(partition_by)
@@ -245,6 +246,7 @@ def hourly_windows(
     members = (
         df.join(reach, parts)
         .withColumn("window", F.explode(F.concat(zero, later)))
+        .filter((F.col("window") != 1) | (F.col("t") >= F.col("_t0") + min(size, step)))
         .drop("_t0", "_t1", "_tl", "_last")
     )
     labels = members.groupBy(*parts, "window").agg(
