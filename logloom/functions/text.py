@@ -68,9 +68,18 @@ def tokenize_on_punctuation(text: Column | str) -> Column:
     return F.filter(parts, lambda t: F.trim(F.regexp_replace(t, r"\s", " ")) != "")
 
 
+# Fixed value: the characters that count as white space at the ends of a text.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def strip(text: Column | str) -> Column:
+    """Trim white space of any script, without a pattern."""
+    return F.btrim(_col(text), F.lit(BLANKS))
+
+
 def clean_text(text: Column | str) -> Column:
     """Remove line breaks and trim."""
-    return F.regexp_replace(F.regexp_replace(_col(text), r"[\r\n]", ""), r"^\s+|\s+$", "")
+    return strip(F.translate(_col(text), "\r\n", ""))
 
 
 def drop_leading_channel(text: Column | str) -> Column:

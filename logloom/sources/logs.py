@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.order import index_rows, line_block
-from logloom.functions.text import binary_label
+from logloom.functions.text import binary_label, strip
 
 
 def _ordered_file(df: DataFrame) -> DataFrame:
@@ -50,12 +50,15 @@ def read_log_csv(spark: SparkSession, path: str, schema: str, multiline: bool =
     return number_lines(df, df.columns).withColumn("Content", F.col("Content").cast("string"))
 
 
+_MARK = "\uffff"
+
+
 def log_format_pattern(log_format: str) -> tuple[str, list[str]]:
     """Anchored pattern and field names of a format such as ``<Date> <Level>: <Content>``."""
     names = re.findall(r"<([^<>]+)>", log_format)
     between = re.split(r"<[^<>]+>", log_format)
     pattern = "(.*?)".join(re.sub(" +", lambda _: r"\s+", text) for text in between)
-    return f"^{pattern}$", names
+    return f"(?dU)^{pattern}$", names
 
 
 def parse_log_format(
@@ -66,10 +69,13 @@ def parse_log_format(
     text = F.col(raw)
     if ascii_only:
         text = F.regexp_replace(text, r"[^\x00-\x7F]+", "<NASCII>")
-    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    rows = df.select("line", text.alias("_text")).filter(F.col("_text").rlike(pattern))
-    fields = [F.regexp_extract("_text", pattern, i + 1).alias(n) for i, n in enumerate(names)]
-    kept = rows.select("line", *fields)
+    # One match takes the line apart: every field is put behind a mark that no text may hold.
+    marked = "".join(f"{_MARK}${i + 1}" for i in range(len(names)))
+    parts = F.split(F.regexp_replace("_text", pattern, marked), _MARK)
+    rows = df.select("line", strip(text).alias("_text")).filter(F.col("_text").rlike(pattern))
+    kept = rows.select("line", parts.alias("_parts")).select(
+        "line", *[F.col("_parts")[i + 1].alias(n) for i, n in enumerate(names)]
+    )
     numbered = index_rows(kept, [F.col("line")], [line_block("line")], name="_index")
     return numbered.select((F.col("_index") + 1).alias("LineId"), *names)
 
