@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.order import HASH_PREFIX, choose_first, index_rows, line_block, seeded_hash
 from logloom.operators.annotate import exclude_rows
+from logloom.session import written
 
 
 def split_by_label(df: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
@@ -145,12 +146,15 @@ def stratified_sample(
 def two_disjoint_samples(
     df: DataFrame, stratum: str, row_id: str, target: int, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Two stratified samples without a common row, the second drawn with ``seed+1``."""
+    """Two stratified samples without a common row, the second drawn with ``seed+1``.
+
+    The first is written, so that its two readers see the same rows and it is drawn once.
+    """
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     enough = F.when(n >= 2 * target, F.lit(True)).otherwise(
         F.raise_error(F.lit("fewer than twice the target rows")).cast("boolean")
     )
-    first = stratified_sample(df.filter(enough), stratum, row_id, target, seed)
+    first = written(stratified_sample(df.filter(enough), stratum, row_id, target, seed), "sample")
     rest = exclude_rows(df, first, row_id)
     return first, stratified_sample(rest, stratum, row_id, target, seed + 1)
 

@@ -186,8 +186,8 @@ sc_{name} AS (
     WHERE split <> 'train') q
   LEFT JOIN mr_{name} r ON r.level = q.level AND r.ctx = q.ctx AND r.target = q.target),
 ct_{name} AS (
-  SELECT t.seq_id, t.label, 0 AS num_error, COALESCE(undetected_tokens, 0) AS undetected_tokens,
-         COALESCE(masked_tokens, 0) AS masked_tokens, total_logkey, 0 AS "deepSVDD_label"
+  SELECT t.seq_id, t.label, CAST(0 AS BIGINT) AS num_error, COALESCE(undetected_tokens, 0) AS undetected_tokens,
+         COALESCE(masked_tokens, 0) AS masked_tokens, total_logkey, CAST(0 AS BIGINT) AS "deepSVDD_label"
   FROM (SELECT seq_id, any_value(label) AS label, count(*) FILTER (bert_input > 0) + 1 AS total_logkey
         FROM {m} WHERE split <> 'train' GROUP BY seq_id) t
   LEFT JOIN (SELECT seq_id, count(*) AS masked_tokens, count(*) FILTER (rk IS NULL OR rk > {k}) AS undetected_tokens

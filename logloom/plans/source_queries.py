@@ -716,7 +716,7 @@ def a7_validate_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
                      round(avg(v), 2) AS mean, round(stddev_pop(v), 1) AS std FROM f)
         SELECT (SELECT count(*) FROM seq_v) AS total_lines, (SELECT count(*) FROM seq_v) - (SELECT count(*) FROM bad) AS valid_lines,
           (SELECT count(*) FROM bad) AS invalid_lines, count(v) AS total_pairs, count(*) FILTER (isnan(v)) AS nan_count,
-          0 AS inf_count, count(*) FILTER (v < 0) AS negative_count, count(*) FILTER (NOT isnan(v) AND abs(v) > 1e6) AS large_value_count,
+          CAST(0 AS BIGINT) AS inf_count, count(*) FILTER (v < 0) AS negative_count, count(*) FILTER (NOT isnan(v) AND abs(v) > 1e6) AS large_value_count,
           count(*) - count(v) AS parse_error_count, 'FAIL' AS verdict,
           any_value(q.min) AS min, any_value(q.max) AS max, any_value(q.mean) AS mean, any_value(q.std) AS std,
           round(any_value(q.q[1]), 4) AS p25, round(any_value(q.q[2]), 4) AS median, round(any_value(q.q[3]), 4) AS p75,

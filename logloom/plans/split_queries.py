@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from logloom.operators import annotate, splits
 from logloom.plans import views
 from logloom.plans.registry import query, with_views
 from logloom.plans.views import md5_order
+from logloom.session import written
 
 
 def _annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +230,7 @@ def l4_sequential_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def l5_mix_abnormal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = views.split_sequences(views.window_rows(spark, sf_dir))
+    split = written(views.split_sequences(views.window_rows(spark, sf_dir)), "split")
     return splits.mix_abnormal(split, "seq_id").select("seq_id", "label", "split")
 
 
@@ -283,9 +286,7 @@ _SECOND = (
 )
 _AGAIN = _STRATA.format(target=300)
 for _name in ("alloc", "turns", "fix", "a0", "c"):
-    import re as _re
-
-    _AGAIN = _re.sub(rf"\b{_name}\b", f"{_name}_2", _AGAIN)
+    _AGAIN = re.sub(rf"\b{_name}\b", f"{_name}_2", _AGAIN)
 _AGAIN = _AGAIN.replace("rows_s", "rest_s")
 
 
@@ -360,5 +361,5 @@ def l10_reverse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def l11_test_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = views.split_sequences(views.window_rows(spark, sf_dir)).filter("split = 'test_normal'")
+    split = written(views.split_sequences(views.window_rows(spark, sf_dir)), "split").filter("split = 'test_normal'")
     return splits.subsample(split, "seq_id", 0.3, seed=5).select("seq_id")
