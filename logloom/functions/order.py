@@ -94,7 +94,8 @@ def choose_first(
         slim.groupBy(*parts, "_block")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("_k", how_many(F.sum("_n").over(whole)).cast("long"))
+        .withColumn("_total", F.sum("_n").over(whole))
+        .withColumn("_k", F.least(how_many(F.col("_total")).cast("long"), F.col("_total")))
         .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
         .select(*parts, "_block", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need"))
     )

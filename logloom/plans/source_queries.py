@@ -13,7 +13,7 @@ from logloom.operators.windows import window_arrays
 from logloom.plans import views
 from logloom.plans.registry import query, with_views
 from logloom.plans.window_queries import joined, micros
-from logloom.session import new_path
+from logloom.session import new_path, written
 from logloom.sources import logs, sequences, xml
 
 _XML_FIELDS = """, x AS (
@@ -735,7 +735,8 @@ def a8_validate_event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e.like("click_8%"), F.concat(e, F.lit(",-1")))
         .otherwise(F.concat(e, F.lit(","), d.cast("string"))),
     )
-    out = profile.validate_event_gaps(rows.select(F.array_join(token, " ").alias("raw")))
+    lines = written(rows.select(F.array_join(token, " ").alias("raw")), "lines")
+    out = profile.validate_event_gaps(lines)
     places = {"mean": 2, "std": 1, "p25": 4, "median": 4, "p75": 4, "p95": 4, "p99": 4}
     return out.withColumns({c: F.round(c, p) for c, p in places.items()})
 

@@ -62,7 +62,10 @@ def sequences(members: DataFrame) -> DataFrame:
 def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window rows, the first gap of each window at 0, written once for several readers."""
     gap = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col("dt"))
-    return written(window_rows(spark, sf_dir).withColumn("dt", gap), "windows")
+    members = window_rows(spark, sf_dir).withColumn("dt", gap)
+    return written(
+        members.select("seq_id", "project", "start", "pos", "line", "t", "event", "dt", "label"), "windows"
+    )
 
 
 def split_windows(spark: SparkSession, sf_dir: str, ratio: float = 0.6) -> DataFrame:
