@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import language, lines, packing, secrets, sharding, simhash, subwords
+from logloom.llm import imatch, language, lines, packing, secrets, sharding, simhash, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,11 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_line_templates"] = lines.oracle_sql()
+
+
+@query
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.withColumns(
+        {c: imatch.shown(c) for c in ("fingerprint", "edited_fingerprint")}
+    )
