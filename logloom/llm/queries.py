@@ -52,7 +52,7 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", secrets.is_base)
     of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(

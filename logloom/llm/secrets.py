@@ -161,18 +161,17 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Find secrets in every text.
 
-    Returns doc_id, text and spans array<struct<kind, start, end>> in code points, by start and then
-    in the order of the kinds.  Base kinds: assignments to names like ``token``, access ids, runs of
+    The columns of ``docs`` (with text) come back and spans array<struct<kind, start, end>>, which
+    ``docs`` must not have, in code points, by start and then in the order of the kinds.  Base kinds: assignments to names like ``token``, access ids, runs of
     hex digits.  Further kinds come only from candidates that parse: base64 or hex is decoded, the
     nested lengths of key encodings must fit exactly, signed tokens need JSON headers.
 
     A null text has no spans; rows may repeat; an empty table gives no rows.  Each text is scanned
     whole by the task that reads it; nothing is shuffled.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        scan_batches,
-        f"doc_id {kind}, text string, spans array<struct<kind: string, start: long, end: long>>",
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(
+        scan_batches, f"{fields}, spans array<struct<kind: string, start: long, end: long>>"
     )
 
 
