@@ -46,8 +46,13 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
 
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places of all members of the runs that begin at ``starts``, one run after the other."""
-    shift = np.repeat(starts - starts_of(lengths), lengths)
-    return np.arange(len(shift), dtype=np.int64) + shift
+    shift = starts - starts_of(lengths)
+    total = int(lengths.sum())
+    small = total + int(np.abs(starts).max(initial=0)) < 2**31  # half the memory
+    kind = np.int32 if small else np.int64
+    places = np.repeat(shift.astype(kind), lengths)
+    places += np.arange(total, dtype=kind)
+    return places
 
 
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
