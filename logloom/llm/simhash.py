@@ -280,7 +280,8 @@ def near_copies(docs: DataFrame, most: int = 3) -> DataFrame:
     without an id get the component of their text.  An empty table gives no rows.
     """
     hashed = written(fingerprints(docs.select("doc_id", "text")).select("doc_id", "print"), "hashed")
-    groups = near_groups(hashed, most).select("print", F.col("doc_id").alias("component_id"))
+    # a table, so that the join below can be split where a fingerprint has many copies
+    groups = written(near_groups(hashed, most).select("print", F.col("doc_id").alias("component_id")), "groups")
     return hashed.join(groups, "print").select("doc_id", "print", "component_id")
 
 
