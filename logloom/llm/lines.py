@@ -16,7 +16,9 @@ NUMBERED = "[^ \\t\\r]*[0-9][^ \\t\\r]*"
 
 def plain(line: Column) -> Column:
     """The line without outer blanks, words with digits as fields, words one space apart."""
-    return F.regexp_replace(F.regexp_replace(F.trim(line, F.lit(BLANKS)), NUMBERED, FIELD), GAP, " ")
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, NUMBERED, FIELD)).otherwise(line)
+    spaced = F.when(line.rlike("[\\t\\r]|  "), F.regexp_replace(fields, GAP, " ")).otherwise(fields)
+    return F.trim(spaced, F.lit(BLANKS))
 
 
 def line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
@@ -24,19 +26,19 @@ def line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
 
     A leaf of the tree is a number of words and the first ``depth`` words.
     """
-    words = F.split("plain", " ")
+    words = F.col("words")
     return (
         docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "doc", "pos", plain(F.col("line")).alias("plain"))
-        .withColumn("n", F.size(words))
-        .filter((F.col("plain") != "") & (F.col("n") >= least))
+        # a generator, so that the filter isn't pushed below the split and made to repeat it
+        .select("doc_id", "doc", "pos", F.explode(F.array(F.split(plain(F.col("line")), " "))).alias("words"))
+        .filter((F.size(words) >= least) & (words[0] != ""))
         .select(
             "doc_id",
             "doc",
             "pos",
-            "n",
-            F.xxhash64("n", F.slice(words, 1, depth)).alias("leaf"),
-            F.struct(F.xxhash64("plain").alias("h"), F.length("plain").alias("size")).alias("form"),
+            F.size(words).alias("n"),
+            F.xxhash64(F.size(words), F.slice(words, 1, depth)).alias("leaf"),
+            F.struct(F.xxhash64(words).alias("h"), F.hash(words).alias("more")).alias("form"),  # 96 bits
         )
     )
 
@@ -76,7 +78,7 @@ def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, constant: floa
         fixed.groupBy("leaf", "form", "n")
         .agg(F.sort_array(F.collect_list(F.struct("k", "word"))).alias("words"))  # words of one line
         .filter((F.size("words") >= F.col("n") * constant) & (F.size("words") < F.col("n")))
-        .select("form", F.struct(F.xxhash64("leaf", "words").alias("h"), F.lit(-1).alias("size")).alias("template"))
+        .select("form", F.struct(F.xxhash64("leaf", "words").alias("h"), F.hash("words", "leaf").alias("more")).alias("template"))
     )
 
 
@@ -104,11 +106,12 @@ def drop_recurring(
         "placed",
     )
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc")
-    recurring = (
+    recurring = written(  # a table, so that the join below can be split where a template is frequent
         placed.groupBy("template", "doc").agg(F.min(order).alias("order"))
         .groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("order").alias("first"))
         .filter(F.col("docs") >= min_docs)
-        .select("template", F.col("first.doc").alias("first"))
+        .select("template", F.col("first.doc").alias("first")),
+        "recurring",
     )
     dropped = (
         placed.join(recurring, "template")
@@ -116,21 +119,19 @@ def drop_recurring(
         .groupBy("doc")
         .agg(F.collect_set("pos").alias("dropped"))  # positions of one text
     )
-    texts = F.split("text", "\n")
-    count = F.coalesce(F.size(texts), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(texts) - 1), "dropped")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "dropped")
     return (
         docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
         .join(dropped.withColumnRenamed("doc", "doc_key"), "doc_key", "left")
+        .select(*docs.columns, "dropped", F.explode(F.array(F.split("text", "\n"))).alias("parts"))
         .select(
             *[c for c in docs.columns if c != "text"],
             F.when(F.col("dropped").isNull(), F.col("text"))
-            .otherwise(F.array_join(F.transform(kept, lambda k: F.get(texts, k)), "\n"))
+            .otherwise(F.array_join(F.transform(kept, lambda k: F.get("parts", k)), "\n"))
             .alias("text"),
-            F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
-            F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+            F.coalesce(F.when(F.col("parts").isNotNull(), F.size("parts")), F.lit(0)).cast("long").alias("n_lines"),
+            F.coalesce(F.when(F.col("dropped").isNotNull(), F.size("dropped")), F.lit(0)).cast("long").alias("n_dropped"),
         )
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
         .select(*docs.columns, "n_lines", "n_dropped")
     )
 
