@@ -73,9 +73,13 @@ def bounded_sample(docs: DataFrame, per_language: int) -> DataFrame:
         .withColumn("nth", F.row_number().over(first))
         .filter(F.col("nth") <= per_language)
         .groupBy("lang")
-        .agg(F.max("key").alias("last"))  # one row per language
+        .agg(F.max("key").alias("last"))
+        .collect()  # one row per language, as in the model itself
     )
-    return keyed.join(chosen, "lang").filter(F.col("key") <= F.col("last")).dropDuplicates(["lang", "key"])
+    if not chosen:
+        return keyed.limit(0)
+    last = F.create_map(*[F.lit(x) for r in chosen for x in (r["lang"], r["last"])])
+    return keyed.filter(F.col("key") <= F.element_at(last, F.col("lang"))).dropDuplicates(["lang", "key"])
 
 
 def words_of(text: Column) -> Column:
