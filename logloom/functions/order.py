@@ -39,7 +39,7 @@ def index_rows(
 ) -> DataFrame:
     """Add the 0-based position of each row within ``partition_by`` under ``order_by``.
 
-    ``blocks`` must never decrease along ``order_by``.  Keys must not be null.  With ``previous``,
+    ``blocks`` must never decrease along ``order_by``.  Rows with null keys stay.  With ``previous``,
     the struct of these columns of the row before comes along as ``previous`` (null for the first
     row of a partition); ``order_by`` must then be a single column.
     """
@@ -58,11 +58,14 @@ def index_rows(
         sums.append(F.max_by(row, order_by[0]).alias("_last"))
         carried.append(F.lag("_last").over(along).alias("_carry"))
         added["_before"] = F.lag(row).over(inside)
-    small = tagged.groupBy(*parts, *keys).agg(*sums).select(*parts, *keys, *carried)
+    small = tagged.groupBy(*parts, *keys).agg(*sums)
+    small = small.select(*[F.col(c).alias(f"_of_{c}") for c in (*parts, *keys)], *carried)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*parts, *keys)]  # null keys are keys, too
     out = (
         tagged.withColumns(added)
-        .join(small, [*parts, *keys])
+        .join(small, same)
         .withColumn(name, F.col("_offset") + F.col("_inside"))
+        .drop(*[f"_of_{c}" for c in (*parts, *keys)])
     )
     if previous:
         out = out.withColumn("previous", F.coalesce("_before", "_carry"))

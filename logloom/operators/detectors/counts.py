@@ -106,13 +106,14 @@ def session_misses(scored: DataFrame, keys: Sequence[str] = ("session_id",)) ->
     )
 
 
-def visible_neighbours(masked: DataFrame, seq: str = "seq_id") -> DataFrame:
+def visible_neighbours(masked: DataFrame, seq: str = "seq_id", chunk: str | None = None) -> DataFrame:
     """Nearest unmasked ids around each masked position, <sos> before the first, 0 after the last.
 
-    Sequences are cut to the model length beforehand, which bounds each window.
+    ``chunk`` numbers stretches of the model length in a sequence; each is a sample by itself, so a
+    long sequence is neither cut nor gathered in one task.
     """
     visible = F.when(F.col("bert_label") == 0, F.col("idx"))
-    along = Window.partitionBy(seq).orderBy("pos")
+    along = Window.partitionBy(seq, *([chunk] if chunk else [])).orderBy("pos")
     back = along.rowsBetween(Window.unboundedPreceding, -1)
     ahead = along.rowsBetween(1, Window.unboundedFollowing)
     return (
@@ -124,11 +125,14 @@ def visible_neighbours(masked: DataFrame, seq: str = "seq_id") -> DataFrame:
     )
 
 
-def masked_counters(masked: DataFrame, scored: DataFrame, seq: str = "seq_id") -> DataFrame:
-    """Counters per sequence: masked and undetected tokens, keys with an id above 0 (<sos> is one),
-    and the time and sphere signals, which this model leaves at 0."""
+def masked_counters(
+    masked: DataFrame, scored: DataFrame, seq: str = "seq_id", chunk: str | None = None
+) -> DataFrame:
+    """Counters per sequence, summed over its chunks: masked and undetected tokens, keys with an id
+    above 0 (the <sos> of each chunk is one), and the time and sphere signals, which this model leaves at 0."""
+    samples = F.max(chunk) + 1 if chunk else F.lit(1)
     keys = masked.groupBy(seq).agg(
-        (F.sum((F.col("bert_input") > 0).cast("long")) + 1).alias("total_logkey")
+        (F.sum((F.col("bert_input") > 0).cast("long")) + samples).alias("total_logkey")
     )
     zero = F.lit(0).cast("long")
     found = scored.groupBy(seq).agg(

@@ -11,7 +11,7 @@ from logloom.operators.detectors import counts as models
 from logloom.operators.detectors import dispersion
 from logloom.plans import views
 from logloom.plans.registry import query, with_views
-from logloom.plans.vocab_queries import CODED, RATIO, coded_rows, masked_sql
+from logloom.plans.vocab_queries import CODED, RATIO, SEQ_LEN, coded_rows, masked_sql
 from logloom.session import written
 
 DEPTH, GUESSES, CANDIDATES = 3, 9, 15
@@ -164,9 +164,9 @@ def masked_model_sql(seed: int = 31, k: int = CANDIDATES, name: str = "a") -> st
     return masked_sql(RATIO, seed, m) + f""",
 near_{name} AS (
   SELECT *, COALESCE(last_value(CASE WHEN bert_label = 0 THEN idx END IGNORE NULLS)
-              OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 3) AS b,
+              OVER (PARTITION BY seq_id, pos // {SEQ_LEN} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 3) AS b,
             COALESCE(first_value(CASE WHEN bert_label = 0 THEN idx END IGNORE NULLS)
-              OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS f
+              OVER (PARTITION BY seq_id, pos // {SEQ_LEN} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS f
   FROM {m}),
 ms_{name} AS (SELECT seq_id, split, label, bert_label AS target, CAST(b AS VARCHAR) AS c1, b || ' ' || f AS c2
               FROM near_{name} WHERE bert_label > 0),
@@ -188,7 +188,7 @@ sc_{name} AS (
 ct_{name} AS (
   SELECT t.seq_id, t.label, CAST(0 AS BIGINT) AS num_error, COALESCE(undetected_tokens, 0) AS undetected_tokens,
          COALESCE(masked_tokens, 0) AS masked_tokens, total_logkey, CAST(0 AS BIGINT) AS "deepSVDD_label"
-  FROM (SELECT seq_id, any_value(label) AS label, count(*) FILTER (bert_input > 0) + 1 AS total_logkey
+  FROM (SELECT seq_id, any_value(label) AS label, count(*) FILTER (bert_input > 0) + max(pos) // {SEQ_LEN} + 1 AS total_logkey
         FROM {m} WHERE split <> 'train' GROUP BY seq_id) t
   LEFT JOIN (SELECT seq_id, count(*) AS masked_tokens, count(*) FILTER (rk IS NULL OR rk > {k}) AS undetected_tokens
              FROM sc_{name} GROUP BY seq_id) u USING (seq_id))"""
@@ -197,12 +197,12 @@ ct_{name} AS (
 def masked_model(coded: DataFrame, seed: int = 31, k: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
     """Scored masked positions and counters of the test sequences."""
     masked = vocabulary.mask_rows(coded, RATIO, seed=seed)
-    near = written(models.visible_neighbours(masked), "neighbours")
+    near = written(models.visible_neighbours(masked, chunk="chunk"), "neighbours")
     contexts = models.neighbour_contexts()
     counted = written(models.context_counts(near.filter("split = 'train'"), contexts, "bert_label"), "contexts")
     test = near.filter("split <> 'train'")
     scored = models.score(test, contexts, "bert_label", counted, k, ["seq_id"])
-    return scored, models.masked_counters(masked.filter("split <> 'train'"), scored)
+    return scored, models.masked_counters(masked.filter("split <> 'train'"), scored, chunk="chunk")
 
 
 def _labelled_counters(coded: DataFrame, seed: int = 31, k: int = CANDIDATES) -> DataFrame:

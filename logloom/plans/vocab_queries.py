@@ -22,9 +22,9 @@ vocab_v AS (
   SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 4 AS idx, freq FROM words
   UNION ALL SELECT * FROM (VALUES ('<pad>', 0, 0), ('<unk>', 1, 0), ('<eos>', 2, 0), ('<sos>', 3, 0), ('<mask>', 4, 0)))"""
 
-CODED = VOCAB + f""",
+CODED = VOCAB + """,
 coded AS (SELECT seq_id, split, label, start, pos, event, dt_us, COALESCE(idx, 1) AS idx
-          FROM rows_t LEFT JOIN vocab_v ON token = event WHERE pos < {SEQ_LEN})"""
+          FROM rows_t LEFT JOIN vocab_v ON token = event)"""
 
 
 def masked_sql(ratio: float = RATIO, seed: int = SEED, name: str = "masked") -> str:
@@ -42,10 +42,11 @@ def train_vocab(rows: DataFrame) -> DataFrame:
 
 
 def coded_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Window rows cut to the model length with their ids, and the training vocabulary."""
+    """Window rows with their ids and their chunk of the model length, and the training vocabulary."""
     rows = written(views.split_windows(spark, sf_dir), "split")
     vocab = written(train_vocab(rows), "vocab")
-    return vocabulary.encode_rows(rows.filter(F.col("pos") < SEQ_LEN), vocab), vocab
+    chunked = rows.withColumn("chunk", F.floor(F.col("pos") / SEQ_LEN))
+    return vocabulary.encode_rows(chunked, vocab), vocab
 
 
 @query(
@@ -159,7 +160,8 @@ def v5_mask_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v6_batch_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, _ = coded_rows(spark, sf_dir)
     day = F.floor(F.col("start") / 86400).alias("batch")
-    masked = vocabulary.mask_rows(coded, RATIO, seed=SEED).select("*", day)
+    # a batch is cut to 8, so what lies beyond is not gathered
+    masked = vocabulary.mask_rows(coded.filter(F.col("pos") < 8), RATIO, seed=SEED).select("*", day)
     padded = vocabulary.pad_batches(vocabulary.model_samples(masked, ["seq_id", "batch"]), "batch", 8)
     return padded.select(
         "seq_id",

@@ -59,4 +59,6 @@ def written(df: DataFrame, stem: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, stem)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # with the session's JVM
     return spark.read.schema(df.schema).parquet(path)
