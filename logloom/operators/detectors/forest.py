@@ -84,10 +84,28 @@ def fit_forest(
     return ordered.toPandas()
 
 
+def forest_cut(train: DataFrame, nodes: pd.DataFrame, contamination: float = 0.03) -> float:
+    """The score that the top ``contamination`` share of the training rows lies above."""
+    scored = written(forest_scores(train, nodes).select("score"), "scores")
+    return exact_percentiles(scored, "score", [1 - float(contamination)]).first()["value"]
+
+
 def score_forest(
-    vectors: DataFrame, nodes: pd.DataFrame, max_samples: int = 256, contamination: float | str = 0.03
+    vectors: DataFrame, nodes: pd.DataFrame, contamination: float | str = 0.03, train: DataFrame | None = None
 ) -> DataFrame:
-    """``score`` = 2^(−E[h]/c) and ``anomaly``: above .5 (auto) or the top ``contamination`` share."""
+    """``score`` and ``anomaly``: above .5 (auto), or above the cut fitted on ``train``.
+
+    Without ``train`` the vectors are taken to be the training rows themselves.
+    """
+    if contamination == "auto":
+        cut = 0.5
+    else:
+        cut = forest_cut(vectors if train is None else train, nodes, float(contamination))
+    return forest_scores(vectors, nodes).withColumn("anomaly", (F.col("score") > F.lit(cut)).cast("int"))
+
+
+def forest_scores(vectors: DataFrame, nodes: pd.DataFrame) -> DataFrame:
+    """``score`` = 2^(−E[h]/c) of each row."""
     forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
     packed = [
         tuple(g[c].to_numpy() for c in ("feature", "split", "below", "above", "size")) for g in forest
@@ -111,9 +129,4 @@ def score_forest(
             total += depth + expected_path(size[at])
         return pd.Series(2.0 ** (-total / len(packed) / norm))
 
-    scored = vectors.withColumn("score", isolation("values"))
-    if contamination == "auto":
-        return scored.withColumn("anomaly", (F.col("score") > 0.5).cast("int"))
-    kept = written(scored, "scores")
-    cut = exact_percentiles(kept, "score", [1 - float(contamination)]).select("value").scalar()
-    return kept.withColumn("anomaly", (F.col("score") > cut).cast("int"))
+    return vectors.withColumn("score", isolation("values"))

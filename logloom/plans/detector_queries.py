@@ -98,8 +98,9 @@ def m3_cluster_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m4_isolation_forest")
 def m4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = count_vectors(spark, sf_dir)
-    nodes = forest.fit_forest(vectors.filter("split = 'train'"), "seq_id")
-    scored = forest.score_forest(vectors.filter("split <> 'train'"), nodes)
+    train = vectors.filter("split = 'train'")
+    nodes = forest.fit_forest(train, "seq_id")
+    scored = forest.score_forest(vectors.filter("split <> 'train'"), nodes, train=train)
     return scored.select("seq_id", "label", F.round("score", 6).alias("score"), "anomaly")
 
 

@@ -217,3 +217,27 @@ def test_forest(rows):
     assert all(r["anomaly"] == 1 for r in scored)
     again = forest.fit_forest(df.repartition(3), "seq_id", trees=40, max_samples=64, seed=3)
     assert nodes.sort_values(["tree", "node"]).reset_index(drop=True).equals(again.sort_values(["tree", "node"]).reset_index(drop=True))
+
+
+def test_forest_cut_comes_from_training_rows(rows):
+    usual = [(f"s{i}", [float(i % 5), 1.0]) for i in range(200)] + [("o", [90.0, 80.0])]
+    df = rows(usual, "seq_id string, values array<double>")
+    nodes = forest.fit_forest(df, "seq_id", trees=100, max_samples=64, seed=3)
+    odd = rows([("x", [90.0, 80.0]), ("y", [2.0, 1.0]), ("z", [85.0, 95.0])], "seq_id string, values array<double>")
+    flags = {r["seq_id"]: r["anomaly"] for r in forest.score_forest(odd, nodes, train=df).collect()}
+    assert flags == {"x": 1, "y": 0, "z": 1}
+
+
+def test_counters_sum_over_all_chunks_of_a_long_window(rows):
+    from logloom.operators.vocab import mask_rows
+
+    df = rows([("w", k, k // 32, 5 + k % 3, 0.0) for k in range(100)], "seq_id string, pos int, chunk long, idx long, dt double")
+    masked = mask_rows(df, 0.65)
+    near = counts.visible_neighbours(masked, chunk="chunk")
+    scored = near.select("seq_id", F.lit(1).cast("long").alias("m"), (F.col("pos") % 2 == 0).alias("missed"))
+    got = counts.masked_counters(masked, scored, chunk="chunk").first()
+    hidden = [r["pos"] for r in masked.filter("bert_label > 0").collect()]
+    assert got["masked_tokens"] == len(hidden) > 50 and max(hidden) > 90
+    assert got["undetected_tokens"] == sum(p % 2 == 0 for p in hidden) and got["total_logkey"] == 104
+    first = {r["chunk"]: r["before"] for r in near.orderBy("pos").collect() if r["pos"] % 32 == 0}
+    assert set(first.values()) <= {3}

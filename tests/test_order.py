@@ -43,3 +43,9 @@ def test_percentiles_match_numpy(rows):
         got = {r["p"]: r["value"] for r in exact_percentiles(df, "v", probs).collect()}
         want = np.percentile(values, [100 * p for p in probs])
         assert np.allclose([got[p] for p in probs], want)
+
+
+def test_rows_with_null_keys_stay(rows):
+    df = rows([("p", 1), (None, 2), (None, 3)], "key string, line long")
+    out = index_rows(df, [F.col("line")], [line_block("line", 2)], ["key"]).collect()
+    assert sorted((r["line"], r["row_index"]) for r in out) == [(1, 0), (2, 0), (3, 1)]
