@@ -62,14 +62,13 @@ def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, constant: floa
         .agg(F.collect_list(F.struct("at.pos", "leaf", "form", "n", "docs")).alias("wanted"))  # lines of one text
     )
     words = written(
-        docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.split("text", "\n").alias("texts"))
-        .dropDuplicates(["doc"])
+        docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text")
         .join(wanted, "doc")
+        .select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("texts"))
         .select("texts", F.explode("wanted").alias("w"))
-        .select(
-            "w.leaf", "w.form", "w.n", "w.docs",
-            F.posexplode(F.split(plain(F.get("texts", F.col("w.pos"))), " ")).alias("k", "word"),
-        ),
+        .select("w.leaf", "w.form", "w.n", "w.docs", F.get("texts", F.col("w.pos")).alias("line"))
+        .dropDuplicates(["leaf", "form"])  # rows that repeat an id and a text are one document
+        .select("leaf", "form", "n", "docs", F.posexplode(F.split(plain(F.col("line")), " ")).alias("k", "word")),
         "words",
     )
     support = words.groupBy("leaf", "k", "word").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs)
@@ -123,13 +122,14 @@ def drop_recurring(
     return (
         docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
         .join(dropped.withColumnRenamed("doc", "doc_key"), "doc_key", "left")
-        .select(*docs.columns, "dropped", F.explode(F.array(F.split("text", "\n"))).alias("parts"))
+        # a generator, so that each text is split once, and only if it loses lines
+        .select(*docs.columns, "dropped", F.explode(F.array(F.when(F.col("dropped").isNotNull(), F.split("text", "\n")))).alias("parts"))
         .select(
             *[c for c in docs.columns if c != "text"],
             F.when(F.col("dropped").isNull(), F.col("text"))
             .otherwise(F.array_join(F.transform(kept, lambda k: F.get("parts", k)), "\n"))
             .alias("text"),
-            F.coalesce(F.when(F.col("parts").isNotNull(), F.size("parts")), F.lit(0)).cast("long").alias("n_lines"),
+            F.coalesce(1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"),
             F.coalesce(F.when(F.col("dropped").isNotNull(), F.size("dropped")), F.lit(0)).cast("long").alias("n_dropped"),
         )
         .select(*docs.columns, "n_lines", "n_dropped")
