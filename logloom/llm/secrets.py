@@ -28,6 +28,7 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/_-]+)*={0,
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 OPENSSH = b"openssh-key-v1\0"
+MARK = "[secret]"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -184,17 +185,27 @@ def is_base(span: Column) -> Column:
     return span["kind"].isin(*BASE_KINDS)
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every stretch covered by spans replaced by one mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+def covered(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with every stretch covered by ``spans``, in order, replaced by one mark."""
+    parts, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            parts += [text[at:start], MARK]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
 
-    def step(state, span):
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        fresh = span["start"] >= state["at"]
-        return F.struct(
-            F.when(fresh, F.concat(state["out"], gap, F.lit("[secret]"))).otherwise(state["out"]).alias("out"),
-            F.greatest(state["at"], span["end"]).alias("at"),
-        )
 
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+def mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t and covered(t, sorted(base_spans(t) + parsed_spans(t))) for t in batch.column("text").to_pylist()]
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array(texts, batch.schema.field(at).type))
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, in which the secrets of ``find_secrets`` are masked in ``text``.
+
+    Every row and column comes back; null and empty texts stay as they are; rows may repeat; an
+    empty table gives no rows.  The work of a text grows with its length, however many spans it has.
+    """
+    return docs.mapInArrow(mask_batches, docs.schema)

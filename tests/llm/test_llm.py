@@ -217,10 +217,14 @@ def test_secrets_confirmed_by_structure(spark, odd, none):
         5: (None, []),
     }
     frame = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in secrets.find_secrets(frame).select("doc_id", secrets.listed(F.col("spans")).alias("s"), secrets.masked(F.col("text"), F.col("spans")).alias("m")).collect()}
+    got = {r["doc_id"]: r for r in secrets.find_secrets(frame).select("doc_id", secrets.listed(F.col("spans")).alias("s")).collect()}
+    hidden = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(frame).collect()}
     for k, (_, want) in cases.items():
         assert got[k]["s"] == ",".join(want)
-    assert got[2]["m"] == "é [secret]" and got[5]["m"] is None
+    assert hidden[2] == "é [secret]" and hidden[5] is None
+    assert secrets.covered("abcdefgh", [(1, 0, 4), (2, 2, 3), (3, 1, 6)]) == "a[secret]gh"
+    masked = secrets.mask_secrets(odd)
+    assert masked.columns == odd.columns and masked.count() == odd.count() and secrets.mask_secrets(none).count() == 0
     assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(none).count() == 0
 
 
