@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.columns import distinct, row_lengths, starts_of, sums, text_slices
+from logloom.session import written
 
 UNKNOWN = "und"
+LAST_HASH = 2**63 - 1
 #: First and last code points of scripts; letters elsewhere are of script "other".
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)),
@@ -61,20 +63,27 @@ def script_of(codes: np.ndarray) -> np.ndarray:
 def bounded_sample(docs: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` different labelled texts of each language, those of smallest hash.
 
-    Only hashes are ranked; the texts of the chosen hashes are then read.
+    Hashes are counted by language; as they are uniform, a share of their range holds the smallest
+    ones, and only that share, of about ``2 * per_language`` hashes whatever the size of the
+    language, is ranked.  The texts of the chosen hashes are then read.
     """
     keyed = docs.select("text", "lang", F.xxhash64("text").alias("key")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
+    different = written(keyed.select("lang", "key").distinct(), "keys")
+    sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language, as in the model
+    if not sizes:
+        return keyed.limit(0)
+    beyond = lambda n: min(LAST_HASH, -LAST_HASH + (2 * LAST_HASH * (2 * per_language + 100)) // n)
+    low = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], beyond(r["n"]))]), F.col("lang"))
     first = Window.partitionBy("lang").orderBy("key")
     chosen = (
-        keyed.groupBy("lang", "key")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        different.filter(F.col("key") <= low)
         .withColumn("nth", F.row_number().over(first))
         .filter(F.col("nth") <= per_language)
         .groupBy("lang")
         .agg(F.max("key").alias("last"))
-        .collect()  # one row per language, as in the model itself
+        .collect()
     )
     if not chosen:
         return keyed.limit(0)

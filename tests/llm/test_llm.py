@@ -187,6 +187,18 @@ def test_languages_of_held_out_documents(spark, docs, odd, none):
     assert language.label_languages(none, model).count() == 0
 
 
+def test_sample_has_the_smallest_hashes(spark):
+    data = spark.range(9000).select(
+        F.concat(F.lit("text "), F.col("id") % 8000).alias("text"), F.when(F.col("id") % 9 > 0, F.when(F.col("id") % 9 > 1, "a").otherwise("b")).alias("lang")
+    )
+    got = {(r["lang"], r["text"]) for r in language.bounded_sample(data, 50).collect()}
+    rows = {(r["lang"], r["text"], r["key"]) for r in data.filter("lang is not null").select("*", F.xxhash64("text").alias("key")).collect()}
+    for lang in "ab":
+        smallest = sorted((k, t) for l, t, k in rows if l == lang)[:50]
+        assert {t for l, t in got if l == lang} == {t for _, t in smallest}
+    assert language.bounded_sample(data.filter("lang = 'b'"), 5000).count() == len({t for l, t, _ in rows if l == "b"})
+
+
 def test_viterbi_like_all_paths():
     from itertools import product
 
