@@ -1,331 +1,122 @@
 """Message templates: mining, assignment and parameters.
 
-Both miners read a log in order and let every message change what later ones meet.  Here equal
-masked messages are merged first, which leaves one row per distinct text with its first line and
-count.  Distinct texts are dealt in first-appearance order into chunks of bounded size; chunks are
-mined in parallel, and the templates found are mined again as messages, until a group fits one chunk
-or a round merges nothing more.  A group whose distinct texts fit one chunk is mined in one pass.
-
-Differences from one pass over all rows: a repeated message is matched when it first appears only,
-and across chunks whole templates meet instead of messages.
+Both miners keep, of each message, its most widely shared words and turn the others into fields.  How
+widely a word is shared is counted over the distinct messages of the log: at its place in its leaf
+for the position miner, anywhere for the subsequence miner.  A message keeps the words that are
+shared at least as widely as the last of the ``threshold`` share that it has to keep; a message that
+would have to keep a word of its own is its own template.
+
+The rules have no order: the line numbers, the partitions and the size of the log's pieces don't
+matter, only the set of distinct messages.  Everything is grouped and joined on hashes, leaves and
+words; the tables of counts are written, so that a join can be split where a word is frequent.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.order import index_rows, line_block
-from logloom.functions.text import WILDCARD, template_id
+from logloom.functions.text import WILDCARD, template_id, tokenize
 from logloom.session import written
 
-CHUNK = 20_000
-_HAS_DIGIT = re.compile(r"\d")
-
-
-# --- matching by token position ----------------------------------------------------------------
-
-
-class _Leaf:
-    """Templates of one length as a growing matrix of token codes; -1 is the wildcard."""
-
-    def __init__(self, length: int):
-        self.codes = np.empty((8, length), dtype=np.int64)
-        self.ids: list[int] = []
 
-    def best(self, message: np.ndarray, threshold: float) -> int | None:
-        """Row with the most equal tokens, then with the most wildcards, then the oldest."""
-        known = self.codes[: len(self.ids)]
-        if not len(known):
-            return None
-        free = known == -1
-        equal = ((known == message) & ~free).sum(axis=1)
-        row = int(np.argmax(equal * (known.shape[1] + 1) + free.sum(axis=1)))
-        return row if equal[row] / known.shape[1] >= threshold else None
+def distinct_messages(log: DataFrame, message: Column) -> DataFrame:
+    """``message`` and ``key``, one row for each text that occurs; null texts have no template."""
+    found = log.select(message.alias("message")).filter(F.col("message").isNotNull()).distinct()
+    return found.withColumn("key", F.md5("message"))
 
-    def add(self, message: np.ndarray, cluster: int) -> None:
-        if len(self.ids) == len(self.codes):
-            self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
-        self.codes[len(self.ids)] = message
-        self.ids.append(cluster)
 
+def message_leaves(messages: DataFrame, depth: int, max_child: int) -> DataFrame:
+    """Add ``leaf``: the number of words, then the first ``depth - 3`` words.
 
-def _route(tree: dict, tokens: Sequence[str], steps: int, width: int, insert: bool):
-    """Leaf key of a message under a token tree with at most ``width`` children per node.
-
-    A search takes the token's own branch or the wildcard branch and may end nowhere.  An insertion
-    opens a branch: the wildcard one for tokens with digits and once the node is full.
+    A word with a digit goes to the wildcard branch, and so does one that fewer than one in ``max_child``
+    messages of its node begin with; no node has more branches of its own than that.
     """
-    node, key = tree, []
-    for token in tokens[:steps]:
-        if token in node:
-            branch = token
-        elif not insert:
-            branch = WILDCARD if WILDCARD in node else None
-        elif _HAS_DIGIT.search(token):
-            branch = WILDCARD
-        else:
-            room = width - (0 if WILDCARD in node else 1)
-            branch = token if len(node) < room else WILDCARD
-        if branch is None:
-            return None
-        key.append(branch)
-        node = node.setdefault(branch, {}) if insert else node[branch]
-    return tuple(key)
-
-
-def mine_by_position(texts: Sequence[str], depth: int, threshold: float, max_child: int) -> list[str]:
-    """Template of each text, all of one token count, taken in order."""
-    steps = max(0, depth - 3)
-    codes: dict[str, int] = {WILDCARD: -1}
-    names: dict[int, str] = {-1: WILDCARD}
-    tree: dict = {}
-    leaves: dict[tuple, _Leaf] = {}
-    homes: list[tuple[_Leaf, int] | str] = []
-    for text in texts:
-        tokens = text.split()
-        # Too short to reach a leaf: the text stays its own template.
-        if len(tokens) < depth - 2 or not tokens:
-            homes.append(" ".join(tokens))
-            continue
-        message = np.empty(len(tokens), dtype=np.int64)
-        for i, token in enumerate(tokens):
-            code = codes.setdefault(token, len(codes))
-            names[code] = token
-            message[i] = code
-        key = _route(tree, tokens, steps, max_child, insert=False)
-        leaf = leaves.get(key) if key is not None else None
-        row = leaf.best(message, threshold) if leaf else None
-        if row is None:
-            key = _route(tree, tokens, steps, max_child, insert=True)
-            leaf = leaves.setdefault(key, _Leaf(len(tokens)))
-            row = len(leaf.ids)
-            leaf.add(message, len(homes))
-        else:
-            known = leaf.codes[row]
-            known[known != message] = -1
-        homes.append((leaf, row))
-    return [
-        home if isinstance(home, str) else " ".join(names[c] for c in home[0].codes[home[1]])
-        for home in homes
-    ]
-
-
-# --- matching by common subsequence ------------------------------------------------------------
-
-
-def _common(a: Sequence[str], b: Sequence[str]) -> list[str]:
-    """Longest common subsequence; of equal ones the walk prefers to shorten ``a``."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, token in enumerate(a):
-        same = np.fromiter((token == other for other in b), bool, len(b))
-        gained = np.where(same, table[i, :-1] + 1, table[i, 1:])
-        table[i + 1, 1:] = np.maximum.accumulate(gained)
-    i, j, out = len(a), len(b), []
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            out.append(a[i - 1])
-            i, j = i - 1, j - 1
-    return out[::-1]
-
-
-def _with_gaps(common: Sequence[str], template: Sequence[str]) -> list[str]:
-    """``template`` with ``<*>`` for each token outside ``common``; what follows the last common
-    token is one gap."""
-    if not common:
-        return []
-    out, k = [], 0
-    for at, token in enumerate(template, 1):
-        if token == common[k]:
-            out.append(token)
-            k += 1
-        else:
-            out.append(WILDCARD)
-        if k == len(common):
-            return out + [WILDCARD] if at < len(template) else out
-    return out
-
-
-class _PrefixIndex:
-    """Templates by their constant tokens; a message may skip tokens on the way down."""
-
-    def __init__(self):
-        self.children: dict[str, _PrefixIndex] = {}
-        self.cluster: int | None = None
-        self.uses = 0
-
-    def add(self, tokens: Sequence[str], cluster: int) -> None:
-        node = self
-        for token in tokens:
-            node = node.children.setdefault(token, _PrefixIndex())
-            node.uses += 1
-        if node.cluster is None:
-            node.cluster = cluster
-
-    def remove(self, tokens: Sequence[str]) -> None:
-        node = self
-        for token in tokens:
-            child = node.children.get(token)
-            if child is None:
-                continue
-            if child.uses == 1:
-                del node.children[token]
-                return
-            child.uses -= 1
-            node = child
-
-    def find(self, tokens: Sequence[str], enough: Callable[[int], bool]) -> int | None:
-        """First cluster met that is good enough; a branch without one is not left again."""
-        node = self
-        for token in tokens:
-            child = node.children.get(token)
-            if child is None:
-                continue
-            if child.cluster is None:
-                node = child
-            elif enough(child.cluster):
-                return child.cluster
-        return None
-
-
-def mine_by_subsequence(messages: Sequence[Sequence[str]], threshold: float) -> list[list[str]]:
-    """Template tokens of each token list, taken in order."""
-    index = _PrefixIndex()
-    templates: list[list[str]] = []
-    homes: list[int] = []
-    for message in messages:
-        message = list(message)
-        fixed = [t for t in message if t != WILDCARD]
-        limit = threshold * len(fixed)
-        home = index.find(
-            fixed, lambda c: sum(t != WILDCARD for t in templates[c]) >= limit
-        )
-        if home is None:
-            home = _contained(templates, fixed)
-        if home is None:
-            home = _closest(templates, message, threshold)
-            if home is not None:
-                merged = _with_gaps(_common(message, templates[home]), templates[home])
-                if merged != templates[home]:
-                    index.remove([t for t in templates[home] if t != WILDCARD])
-                    templates[home] = merged
-                    index.add([t for t in merged if t != WILDCARD], home)
-        if home is None:
-            home = len(templates)
-            templates.append(message)
-            index.add(fixed, home)
-        homes.append(home)
-    return [templates[h] for h in homes]
-
-
-def _contained(templates: list[list[str]], message: list[str]) -> int | None:
-    """First template of at least half the length whose tokens all occur in the message."""
-    tokens = {*message, WILDCARD}
-    for at, template in enumerate(templates):
-        if len(template) >= 0.5 * len(message) and tokens.issuperset(template):
-            return at
-    return None
-
-
-def _closest(templates: list[list[str]], message: list[str], threshold: float) -> int | None:
-    """Template with the longest common subsequence, the shorter one on ties, if long enough."""
-    tokens, best, found = set(message), -1, None
-    for at, template in enumerate(templates):
-        if len(tokens.intersection(template)) < 0.5 * len(message):
-            continue
-        length = len(_common(message, template))
-        if length > best or (length == best and len(template) < len(templates[found])):
-            best, found = length, at
-    return found if best >= threshold * len(message) else None
-
-
-# --- the distributed rounds --------------------------------------------------------------------
-
-
-def distinct_messages(log: DataFrame, text: Column, line: str = "line") -> DataFrame:
-    """One row per distinct masked message: ``message, first_line, n``."""
-    return (
-        log.select(text.alias("message"), F.col(line).alias("_line"))
-        .groupBy("message")
-        .agg(F.min("_line").alias("first_line"), F.count(F.lit(1)).alias("n"))
-    )
-
-
-def _mine_rounds(distinct: DataFrame, group: Column, mine, chunk: int) -> DataFrame:
-    """``message → template`` by rounds of chunked mining."""
-    todo = written(
-        distinct.select("message", F.col("message").alias("template"), "first_line"), "messages"
+    placed = messages.withColumn("leaf", F.size("words").cast("string"))
+    for step in range(depth - 3):
+        word = F.get("words", F.lit(step))
+        placed = placed.withColumn("branch", F.when(word.rlike(r"(?U)\d"), WILDCARD).otherwise(word))
+        branches = placed.groupBy("leaf", "branch").agg(F.count(F.lit(1)).alias("in_branch"))
+        nodes = branches.groupBy("leaf").agg(F.sum("in_branch").alias("in_node"))
+        wide = branches.join(nodes, "leaf").filter(F.col("in_branch") * max_child >= F.col("in_node"))
+        wide = written(wide.select("leaf", "branch", F.col("branch").alias("own")), "branches")
+        leaf = F.concat_ws(" ", "leaf", F.coalesce("own", F.lit(WILDCARD)))
+        placed = placed.join(wide, ["leaf", "branch"], "left").withColumn("leaf", leaf).drop("branch", "own")
+    return placed
+
+
+def shared_words(cells: DataFrame, support: DataFrame, keys: list[str], threshold: float, n: Column) -> DataFrame:
+    """``key, parts, cut``: the words of a message with their support, in order, and the least support
+    of the words it keeps.  Words that are wildcards already have none."""
+    counted = cells.join(support, keys).select(
+        "key", F.struct("at", "word", F.when(F.col("word") == WILDCARD, 0).otherwise(F.col("support")).alias("support")).alias("part")
     )
-    size = None
-    while True:
-        texts = todo.groupBy("template").agg(F.min("first_line").alias("first_line"))
-        keyed = texts.withColumn("_group", group)
-        placed = index_rows(
-            keyed, [F.col("first_line"), F.col("template")], [line_block("first_line")], ["_group"], "_index"
-        ).withColumn("_chunk", F.floor(F.col("_index") / chunk))
-        mined = placed.groupBy("_group", "_chunk").applyInPandas(
-            mine, "template string, mined string"
-        )
-        step = todo.join(mined, "template").select(
-            "message", F.col("mined").alias("template"), "first_line"
-        )
-        todo = written(step, "templates")
-        left = todo.groupBy("template").agg(F.first("first_line").alias("first_line")).withColumn("_group", group)
-        sizes = left.groupBy("_group").agg(F.count(F.lit(1)).alias("n")).agg(
-            F.sum("n").alias("all"), F.max("n").alias("most")
-        ).first()
-        several = placed.filter(F.col("_chunk") > 0).limit(1).count() > 0
-        if not several or sizes["all"] == size:
-            return todo.select("message", "template")
-        size = sizes["all"]
+    parts = counted.groupBy("key").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # words of one message
+    last = F.greatest(F.lit(1), F.ceil(F.lit(float(threshold)) * n)).cast("int") - 1
+    widest = F.sort_array(F.col("parts.support"), asc=False)
+    return parts.withColumn("cut", F.coalesce(F.get(widest, last), F.lit(0)))
 
 
 def mine_templates_by_position(
-    log: DataFrame,
-    text: Column,
-    depth: int = 4,
-    threshold: float = 0.4,
-    max_child: int = 100,
-    chunk: int = CHUNK,
+    log: DataFrame, text: Column, depth: int = 4, threshold: float = 0.4, max_child: int = 100
 ) -> DataFrame:
-    """``message → template`` for the fixed-depth tree miner, ``text`` being the masked message.
+    """``message → template`` from words at their places, ``text`` being the masked message.
 
-    Messages of different token counts never meet, so the token count is the group.
+    Messages of one leaf have equal numbers of words.  Messages too short to reach a leaf and blank
+    ones are their own templates, with single blanks between words.
     """
-
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values(["first_line", "template"])["template"].tolist()
-        return pd.DataFrame(
-            {"template": texts, "mined": mine_by_position(texts, depth, threshold, max_child)}
-        )
-
-    words = F.filter(F.split("template", r"(?U)\s+"), lambda t: t != "")
-    return _mine_rounds(distinct_messages(log, text), F.size(words), mine, chunk)
+    messages = written(distinct_messages(log, text).withColumn("words", tokenize("message")), "messages")
+    leaves = message_leaves(messages.filter(F.size("words") >= max(1, depth - 2)), depth, max_child)
+    cells = written(leaves.select("key", "leaf", F.posexplode("words").alias("at", "word")), "cells")
+    keys = ["leaf", "at", "word"]
+    support = written(cells.groupBy(keys).agg(F.count(F.lit(1)).alias("support")), "support")
+    shared = shared_words(cells, support, keys, threshold, F.size("parts"))
+    kept = F.transform("parts", lambda p: F.when(p["support"] >= F.col("cut"), p["word"]).otherwise(WILDCARD))
+    masked = shared.filter(F.col("cut") > 1).select("key", F.array_join(kept, " ").alias("masked"))
+    return messages.join(masked, "key", "left").select(
+        "message", F.coalesce("masked", F.array_join("words", " ")).alias("template")
+    )
 
 
-def mine_templates_by_subsequence(
-    log: DataFrame, tokens: Column, threshold: float = 0.5, chunk: int = 2_000
-) -> DataFrame:
-    """``message → template`` for the common-subsequence miner; ``tokens`` is the token array and
-    ``message`` is its text with a line feed between tokens (tokens may hold blanks)."""
-
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf.sort_values(["first_line", "template"])["template"].tolist()
-        mined = mine_by_subsequence([t.split("\n") if t else [] for t in texts], threshold)
-        return pd.DataFrame({"template": texts, "mined": ["\n".join(m) for m in mined]})
+def mine_templates_by_subsequence(log: DataFrame, tokens: Column, threshold: float = 0.5) -> DataFrame:
+    """``message → template`` from words in their order; ``tokens`` is the token array and ``message``
+    is its text with a line feed between tokens (tokens may hold blanks).
 
+    Messages that keep the same words in the same order share a template, whatever their lengths: these
+    words are a common subsequence of all.  It has a field wherever one of them has other words.
+    """
     flat = F.array_join(F.transform(tokens, lambda t: F.translate(t, "\r\n", "  ")), "\n")
-    found = _mine_rounds(distinct_messages(log, flat), F.lit(0), mine, chunk)
-    return found.withColumn("template", F.translate("template", "\n", " "))
+    words = F.when(F.col("message") != "", F.split("message", "\n")).otherwise(F.array().cast("array<string>"))
+    messages = written(distinct_messages(log, flat).withColumn("words", words), "messages")
+    each = messages.select(F.explode(F.array_distinct("words")).alias("word")).filter(F.col("word") != WILDCARD)
+    support = written(each.groupBy("word").agg(F.count(F.lit(1)).alias("support")), "support")
+    cells = messages.select("key", F.posexplode("words").alias("at", "word")).filter(F.col("word") != WILDCARD)
+    shared = shared_words(written(cells, "cells"), support, ["word"], threshold, F.size("parts")).filter(F.col("cut") > 1)
+    kept = shared.select("key", F.filter("parts", lambda p: p["support"] >= F.col("cut")).alias("kept"))
+    before = lambda i: F.coalesce(F.get("kept.at", i - 1), F.lit(-1))
+    after = lambda i: F.coalesce(F.get("kept.at", i), F.size("words"))
+    fields = F.filter(F.sequence(F.lit(0), F.size("kept")), lambda i: after(i) - before(i) > 1)
+    placed = written(
+        messages.join(kept, "key").select("key", F.col("kept.word").alias("fixed"), fields.alias("fields")), "placed"
+    )
+    at = placed.select("fixed", F.explode_outer("fields").alias("field"))
+    groups = at.groupBy("fixed").agg(F.collect_set("field").alias("fields"))  # places between the words of one template
+    none = F.array().cast("array<string>")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size("fixed")),
+        lambda i: F.concat(
+            F.when(F.array_contains("fields", i), F.array(F.lit(WILDCARD))).otherwise(none),
+            F.when(i < F.size("fixed"), F.array(F.get("fixed", i))).otherwise(none),
+        ),
+    )
+    named = written(groups.select("fixed", F.array_join(F.flatten(pieces), " ").alias("mined")), "templates")
+    mined = placed.join(named, "fixed").select("key", "mined")
+    return messages.join(mined, "key", "left").select(
+        "message", F.coalesce("mined", F.array_join("words", " ")).alias("template")
+    )
 
 
 def assign_templates(log: DataFrame, text: Column, mapping: DataFrame) -> DataFrame:

@@ -9,12 +9,92 @@ from pyspark.sql import functions as F
 from logloom.functions import text
 from logloom.operators import features, templates
 from logloom.operators.detectors import cluster, forest, matrix, supervised
+from logloom.operators.profile import template_catalogue
 from logloom.plans import views
-from logloom.plans.registry import query
+from logloom.plans.registry import query, with_views
 from logloom.plans.vocab_queries import sequence_counts
 from logloom.session import written
 
 
+# --- templates ---------------------------------------------------------------------------------
+
+HDFS_MASKED = r"""regexp_replace(regexp_replace(regexp_replace({text}, 'blk_[-\p{{Nd}}]+', 'blk_<*>', 'g'),
+  '\p{{Nd}}+\.\p{{Nd}}+\.\p{{Nd}}+\.\p{{Nd}}+', '<*>', 'g'), '(/[-\w]+)+', '<*>', 'g')"""
+BGL_MASKED = r"""regexp_replace(regexp_replace(regexp_replace({text}, '(0x)[0-9a-fA-F]+', '<*>', 'g'),
+  '\p{{Nd}}+.\p{{Nd}}+.\p{{Nd}}+.\p{{Nd}}+', '<*>', 'g'), '\p{{Nd}}+', '<*>', 'g')"""
+#: ``messages`` from ``masked_v (message)``.
+MESSAGES = r""",
+messages AS (
+  SELECT message, list_filter(regexp_split_to_array(message, '\s+'), lambda w: w <> '') AS words
+  FROM (SELECT DISTINCT message FROM masked_v WHERE message IS NOT NULL))"""
+
+
+def shared_sql(threshold: float) -> str:
+    """Views over ``cells (message, k, word, support)``: the words of a message and its least support."""
+    return f""",
+shared AS (
+  SELECT message, list(word ORDER BY k) AS ws, list(k ORDER BY k) AS places, list(support ORDER BY k) AS ss,
+         COALESCE(list_reverse_sort(list(support))[CAST(greatest(1, ceil(CAST({threshold} AS DOUBLE) * count(*))) AS INT)], 0) AS cut
+  FROM cells GROUP BY message)"""
+
+
+def position_sql(depth: int, threshold: float, max_child: int = 100) -> str:
+    """``mapping (message, template)`` of the position miner over ``masked_v (message)``."""
+    out = MESSAGES + f""",
+leaf0 AS (SELECT *, CAST(len(words) AS VARCHAR) AS leaf FROM messages WHERE len(words) >= {max(1, depth - 2)})"""
+    steps = max(0, depth - 3)
+    for i in range(steps):
+        word = f"words[{i + 1}]"
+        out += f""",
+branch{i} AS (SELECT *, CASE WHEN regexp_matches({word}, '\\p{{Nd}}') THEN '<*>' ELSE {word} END AS branch FROM leaf{i}),
+wide{i} AS (SELECT *, count(*) OVER (PARTITION BY leaf, branch) AS in_branch, count(*) OVER (PARTITION BY leaf) AS in_node FROM branch{i}),
+leaf{i + 1} AS (
+  SELECT message, words, leaf || ' ' || CASE WHEN in_branch * {max_child} >= in_node THEN COALESCE(branch, '<*>') ELSE '<*>' END AS leaf
+  FROM wide{i})"""
+    return out + f""",
+placed AS (SELECT message, leaf, unnest(range(len(words))) AS k, unnest(words) AS word FROM leaf{steps}),
+cells AS (
+  SELECT *, CASE WHEN word = '<*>' THEN 0 ELSE count(*) OVER (PARTITION BY leaf, k, word) END AS support FROM placed)""" + shared_sql(threshold) + """,
+mapping AS (
+  SELECT m.message, CASE WHEN s.cut > 1
+    THEN array_to_string(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN ss[i] >= cut THEN ws[i] ELSE '<*>' END), ' ')
+    ELSE array_to_string(words, ' ') END AS template
+  FROM messages m LEFT JOIN shared s USING (message))
+"""
+
+
+def subsequence_sql(threshold: float) -> str:
+    """The same of the subsequence miner."""
+    return MESSAGES + """,
+placed AS (SELECT message, unnest(range(len(words))) AS k, unnest(words) AS word FROM messages),
+supports AS (SELECT word, count(DISTINCT message) AS support FROM placed GROUP BY word),
+cells AS (SELECT * FROM placed JOIN supports USING (word) WHERE word <> '<*>')""" + shared_sql(threshold) + """,
+fixed_words AS (
+  SELECT message, len(words) AS n, list_filter(range(1, len(ws) + 1), lambda i: ss[i] >= cut) AS chosen, ws, places
+  FROM shared JOIN messages USING (message) WHERE cut > 1),
+chosen_words AS (
+  SELECT message, n, list_transform(chosen, lambda i: ws[i]) AS fixed, list_transform(chosen, lambda i: places[i]) AS k FROM fixed_words),
+gaps AS (
+  SELECT message, fixed, unnest(range(len(fixed) + 1)) AS i, unnest(list_concat(k, [n])) AS here, unnest(list_concat([-1], k)) AS before
+  FROM chosen_words),
+fields AS (SELECT fixed, i, max(CASE WHEN here - before > 1 THEN 1 ELSE 0 END) AS field FROM gaps GROUP BY fixed, i),
+mined AS (
+  SELECT fixed, string_agg(concat_ws(' ', CASE WHEN field = 1 THEN '<*>' END, fixed[i + 1]), ' ' ORDER BY i)
+           FILTER (WHERE field = 1 OR i < len(fixed)) AS template
+  FROM fields GROUP BY fixed),
+mapping AS (
+  SELECT m.message, COALESCE(t.template, array_to_string(words, ' ')) AS template
+  FROM messages m LEFT JOIN chosen_words c USING (message) LEFT JOIN mined t ON t.fixed = c.fixed)
+"""
+
+
+MINED = views.TEXT + """,
+masked_v AS (SELECT line, message AS content, """ + HDFS_MASKED.format(text="message") + """ AS message FROM text_v)""" + position_sql(5, 0.5) + """,
+mined_v AS (
+  SELECT line, content, template AS "EventTemplate", substring(md5(template), 1, 8) AS "EventId"
+  FROM masked_v JOIN mapping USING (message))"""
+
+
 def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.text_view(spark, sf_dir).select("line", F.col("message").alias("Content"))
     masked = text.mask_content("Content", text.MASKS["hdfs_drain"])
@@ -22,33 +102,50 @@ def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.assign_templates(rows, masked, mapping)
 
 
-@query("t1_mine_by_position")
+@query(
+    "t1_mine_by_position",
+    with_views(
+        MINED,
+        """SELECT "EventTemplate", count(*) AS "Occurrences", min(line) AS first_line, "EventId"
+           FROM mined_v GROUP BY ALL""",
+    ),
+)
 def t1_mine_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logloom.operators.profile import template_catalogue
-
     return template_catalogue(_mined(spark, sf_dir))
 
 
-@query("t1_mine_documents")
+@query(
+    "t1_mine_documents",
+    with_views(
+        """masked_v AS (
+  SELECT """ + BGL_MASKED.format(text="content") + """ AS message
+  FROM (SELECT unnest(string_split(text, chr(10))) AS content FROM documents))""" + position_sql(4, 0.5),
+        "SELECT template, count(*) AS messages FROM mapping GROUP BY template",
+    ),
+)
 def t1_mine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a message."""
-    docs = views.table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "Content"))
-    ordered = lines.withColumn("line", F.col("doc_id") * F.lit(1_000_000) + F.col("at"))
+    lines = views.table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("Content"))
     masked = text.mask_content("Content", text.MASKS["bgl"])
-    mapping = templates.mine_templates_by_position(ordered, masked, depth=4, threshold=0.5)
+    mapping = templates.mine_templates_by_position(lines, masked, depth=4, threshold=0.5)
     return mapping.groupBy("template").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query("t2_mine_by_subsequence")
+@query(
+    "t2_mine_by_subsequence",
+    with_views(
+        views.TEXT + """,
+masked_v AS (SELECT """ + BGL_MASKED.format(text="message") + """ AS message FROM text_v)""" + subsequence_sql(0.5),
+        "SELECT array_to_string(words, chr(10)) AS message, template FROM mapping JOIN messages USING (message)",
+    ),
+)
 def t2_mine_by_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.text_view(spark, sf_dir).select("line", "message")
+    rows = views.text_view(spark, sf_dir).select("message")
     masked = text.mask_content("message", text.MASKS["bgl"])
-    words = text.tokenize(masked)
-    return templates.mine_templates_by_subsequence(rows, words, 0.5)
+    return templates.mine_templates_by_subsequence(rows, text.tokenize(masked), 0.5)
 
 
-@query("t3_assign_templates")
+@query("t3_assign_templates", with_views(MINED, 'SELECT line, "EventId", "EventTemplate" FROM mined_v'))
 def t3_assign_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mined(spark, sf_dir).select("line", "EventId", "EventTemplate")
 

@@ -1,5 +1,7 @@
 """Evaluation, miners and detectors."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -67,71 +69,75 @@ def test_dispersion(rows):
 # --- miners ------------------------------------------------------------------------------------
 
 
-def simple_miner(texts, threshold):
-    """Depth-3 mining by plain lists: groups by length only."""
-    groups, homes = {}, []
-    for text in texts:
-        words = text.split()
-        best = None
-        for template in groups.setdefault(len(words), []):
-            same = sum(a == b != "<*>" for a, b in zip(template, words))
-            rank = (same, template.count("<*>"))
-            if best is None or rank > best[0]:
-                best = (rank, template)
-        if best and best[0][0] / len(words) >= threshold:
-            template = best[1]
-            template[:] = [a if a == b else "<*>" for a, b in zip(template, words)]
-        else:
-            template = words
-            groups[len(words)].append(template)
-        homes.append(template)
-    return [" ".join(t) for t in homes]
-
-
-def test_position_miner():
-    assert templates.mine_by_position(["open file x", "open file y"], 3, 0.3, 100) == ["open file <*>"] * 2
-    rng = np.random.default_rng(1)
-    for _ in range(5):
-        texts = list(dict.fromkeys(" ".join(rng.choice(list("abcd") + ["<*>"], size=4)) for _ in range(60)))
-        assert templates.mine_by_position(texts, 3, 0.5, 100) == simple_miner(texts, 0.5)
-
-
-def test_position_miner_tree():
-    # At depth 4 the first token parts the leaves; tokens with digits share the wildcard branch.
-    texts = ["a x y", "b x y", "n1 x y", "n2 x y"]
-    assert templates.mine_by_position(texts, 4, 0.5, 100) == ["a x y", "b x y", "<*> x y", "<*> x y"]
-    assert templates.mine_by_position(["a", "a"], 4, 0.1, 100) == ["a", "a"]
-    # A full node sends new tokens to the wildcard branch.
-    assert templates.mine_by_position(["a x", "b x", "c x"], 4, 0.5, 2) == ["a x", "<*> x", "<*> x"]
-
-
-def test_mining_in_spark_matches_one_pass_and_rounds_lose_nothing(spark, rows):
+def mined(df, **kw):
+    return {r["message"]: r["template"] for r in templates.mine_templates_by_position(df, F.col("m"), **kw).collect()}
+
+
+def texts(rows, *values):
+    return rows([(v,) for v in values], "m string")
+
+
+def test_position_miner(rows):
+    df = texts(rows, "open file x", "open file y", "close it", "close it", None, "", " a   b ")
+    assert mined(df, depth=3, threshold=0.3) == {
+        "open file x": "open file <*>", "open file y": "open file <*>", "close it": "close it", "": "", " a   b ": "a b"
+    }
+    # At depth 4 the first word parts the leaves; words with digits share the wildcard branch.
+    df = texts(rows, "a x y", "b x y", "n1 x y", "n2 x y", "a")
+    got = mined(df, depth=4, threshold=0.5)
+    assert got == {"a x y": "a x y", "b x y": "b x y", "n1 x y": "<*> x y", "n2 x y": "<*> x y", "a": "a"}
+    # Branches that are too small for the width go to the wildcard branch.
+    df = texts(rows, "a x", "b x", "c x")
+    assert set(mined(df, depth=4, threshold=0.5, max_child=2).values()) == {"<*> x"}
+    assert mined(texts(rows), depth=4) == {}
+
+
+def loop_miner(messages, threshold):
+    """Depth-3 mining by plain loops."""
+    out = {}
+    for m in messages:
+        words = m.split()
+        same = [o.split() for o in messages if len(o.split()) == len(words)]
+        support = [0 if w == "<*>" else sum(o[i] == w for o in same) for i, w in enumerate(words)]
+        cut = sorted(support)[-max(1, math.ceil(threshold * len(words)))]
+        out[m] = " ".join(w if s >= cut or cut < 2 else "<*>" for w, s in zip(words, support))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_miners_do_not_depend_on_order_or_partitions(spark, rows, partitions):
     rng = np.random.default_rng(2)
-    texts = [" ".join(rng.choice(list("abcdef"), size=int(rng.integers(1, 6)))) for _ in range(300)]
-    df = rows([(i + 1, t) for i, t in enumerate(texts)], "line long, Content string")
-    mapping = templates.mine_templates_by_position(df, F.col("Content"), 3, 0.5)
-    got = {r["message"]: r["template"] for r in mapping.collect()}
-    distinct = list(dict.fromkeys(texts))
-    assert got == dict(zip(distinct, simple_miner(distinct, 0.5)))
-    chunked = templates.mine_templates_by_position(df, F.col("Content"), 3, 0.5, chunk=7)
-    out = templates.assign_templates(df, F.col("Content"), chunked)
+    lines = [" ".join(rng.choice([*"abcdef", "<*>"], size=int(rng.integers(1, 6)))) for _ in range(300)]
+    df = texts(rows, *lines).orderBy(F.md5(F.concat("m", F.lit(str(partitions))))).repartition(partitions)
+    assert mined(df, depth=3, threshold=0.5) == loop_miner(set(lines), 0.5)
+    by_order = templates.mine_templates_by_subsequence(df, F.split("m", " "), 0.5)
+    got = {(r["message"], r["template"]) for r in by_order.collect()}
+    again = templates.mine_templates_by_subsequence(texts(rows, *lines), F.split("m", " "), 0.5)
+    assert got == {(r["message"], r["template"]) for r in again.collect()} and len(got) == len(set(lines))
+    for message, template in got:  # the words between the fields are a subsequence of the message
+        left = iter(message.split("\n"))
+        assert all(w in left for w in template.split() if w != "<*>")
+    out = templates.assign_templates(df, F.col("m"), templates.mine_templates_by_position(df, F.col("m"), 3, 0.5))
     assert out.count() == 300
-    for r in out.collect():
-        pairs = zip(r["Content"].split(), r["EventTemplate"].split(), strict=True)
-        assert all(t in ("<*>", w) for w, t in pairs)
-
-
-def test_subsequence_miner(spark, rows):
-    split = lambda ts: [t.split() for t in ts]
-    assert templates._common("abcd", "bxd") == ["b", "d"]
-    assert templates._with_gaps(["a", "c"], ["a", "b", "c", "d"]) == ["a", "<*>", "c", "<*>"]
-    mined = templates.mine_by_subsequence(split(["send file one now", "send file two now", "boot"]), 0.5)
-    assert mined == [["send", "file", "<*>", "now"], ["send", "file", "<*>", "now"], ["boot"]]
-    df = rows([(1, "send file one now"), (2, "send file two now"), (3, "boot")], "line long, m string")
+
+
+def test_templates_of_two_kinds_meet_wherever_they_stand(rows):
+    df = texts(rows, "a b c1", "x y z1", "a b c2", "x y z2")
+    assert set(mined(df, depth=3, threshold=0.5).values()) == {"a b <*>", "x y <*>"}
+    out = templates.mine_templates_by_subsequence(df, F.split("m", " "), 0.5)
+    assert {r["template"] for r in out.collect()} == {"a b <*>", "x y <*>"}
+
+
+def test_subsequence_miner(rows):
+    df = texts(rows, "send file one now", "send file two more now", "boot", "", None)
+    out = templates.mine_templates_by_subsequence(df, F.split("m", " "), 0.5)
+    assert {r["message"]: r["template"] for r in out.collect()} == {
+        "send\nfile\none\nnow": "send file <*> now", "send\nfile\ntwo\nmore\nnow": "send file <*> now", "boot": "boot", "": ""
+    }
+    # A field stands wherever one of the messages has other words.
+    df = texts(rows, "a b c1 d", "a x1 b d", "a b d")
     out = templates.mine_templates_by_subsequence(df, F.split("m", " "), 0.5)
-    assert {r["template"] for r in out.collect()} == {"send file <*> now", "boot"}
-    small = templates.mine_templates_by_subsequence(df, F.split("m", " "), 0.5, chunk=1)
-    assert {r["template"] for r in small.collect()} >= {"boot"} and small.count() == 3
+    assert {r["template"] for r in out.collect()} == {"a <*> b <*> d"}
 
 
 def test_parameters(rows):
