@@ -16,7 +16,7 @@ from logloom.session import written
 DATA_BLOCK, QUERY_BLOCK = 4096, 2048
 #: Bounds of the top of the data's tree: its centres are a sample of so many rows.
 MOST_CENTRES = 256
-LEAF, FAN = 64, 16
+LEAF, FAN = 256, 16
 
 
 class Node:
@@ -47,14 +47,44 @@ class Node:
             self.children = [Node(points, self.rows[g], centres[k]) for k, g in groups]
 
 
+def fits_floats(a: np.ndarray, b: np.ndarray) -> bool:
+    """Are inner products of these integer rows exact in floating point (every sum fits 53 bits)?"""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1) < 2**53
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows: floating point while every sum fits its 53 bits."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
-    if top < 2**53:
+    """Exact inner products of integer rows."""
+    if fits_floats(a, b):
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a @ b.T
 
 
+def take_best(scores, found, rows, new, ids, own, floor) -> np.ndarray:
+    """Put the candidates of a block of products among the best of ``rows``; returns the rows that changed.
+
+    Only entries that reach both the block's own kth score and ``floor`` are sorted, ties included.
+    """
+    k = scores.shape[1]
+    low = -np.inf if new.dtype.kind == "f" else np.iinfo(np.int64).min
+    new = np.where(own, low, new)
+    cut = np.full(len(rows), low) if new.shape[1] <= k else np.partition(new, new.shape[1] - k, axis=1)[:, -k]
+    if floor is not None:
+        cut = np.maximum(cut, floor)
+    r, c = np.nonzero((new >= cut[:, None]) & ~own)
+    if not len(r):
+        return rows[:0]
+    touched = np.unique(r)
+    changed = rows[touched]
+    row = np.concatenate([r, np.repeat(touched, k)])
+    score = np.concatenate([new[r, c].astype(np.int64), scores[changed].ravel()])
+    name = np.concatenate([ids[c], found[changed].ravel()])
+    order = np.lexsort((name, ~score, row))  # ~x falls as x rises, without overflow
+    row = row[order]
+    best = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    scores[changed], found[changed] = score[best].reshape(-1, k), name[best].reshape(-1, k)
+    return changed
+
+
 def dual_search(queries, query_ids, floors, data, data_ids, k):
     """The k best rows for each query among ``data`` that can still reach its floor.
 
@@ -67,6 +97,7 @@ def dual_search(queries, query_ids, floors, data, data_ids, k):
     q_float, d_float = queries.astype(np.float64), data.astype(np.float64)
     q_root = Node(q_float, np.arange(len(queries)), q_float.mean(0))
     d_root = Node(d_float, np.arange(len(data)), d_float.mean(0))
+    exact = fits_floats(queries, data)
 
     def bound(q: Node, d: Node) -> float:
         b = float(q.centre @ d.centre) + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius
@@ -83,21 +114,28 @@ def dual_search(queries, query_ids, floors, data, data_ids, k):
             pairs = [(q, c) for c in d.children]
         else:
             rows, ids = q.rows, data_ids[d.rows]
-            new = product(queries[rows], data[d.rows])
             own = query_ids[rows][:, None] == ids[None, :]
-            new = np.where(own, np.iinfo(np.int64).min, new)
-            every = np.concatenate([scores[rows], new], 1)
-            names = np.concatenate([found[rows], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(ids, new.shape))], 1)
-            order = np.lexsort((names, ~every), axis=1)[:, :k]  # ~x falls as x rises, without overflow
-            scores[rows], found[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
-            kth = scores[rows, k - 1].astype(np.float64)
-            worst[rows] = np.maximum(worst[rows], np.where(found[rows, k - 1] == np.iinfo(np.int64).max, -np.inf, kth))
+            if exact:
+                new, floor = q_float[rows] @ d_float[d.rows].T, worst[rows]
+            else:
+                new, floor = queries[rows] @ data[d.rows].T, None
+            changed = take_best(scores, found, rows, new, ids, own, floor)
+            kth = scores[changed, k - 1].astype(np.float64)
+            full = found[changed, k - 1] != np.iinfo(np.int64).max
+            worst[changed] = np.maximum(worst[changed], np.where(full, kth, -np.inf))
             continue
         pairs = [(bound(x, y), x, y) for x, y in pairs]
         todo += sorted((p for p in pairs if p[0] >= worst[p[1].rows].min()), key=lambda p: p[0])
     return scores, found
 
 
+def matrix_of(column, rows: int) -> np.ndarray:
+    """The rows of a list column, all of one length and without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
 def block_search(k: int):
     schema = pa.schema([("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -105,7 +143,7 @@ def block_search(k: int):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         numbers = lambda t, c: t[c].to_numpy().astype(np.int64)
-        matrix = lambda t: np.array(t["v"].to_pylist(), np.int64).reshape(t.num_rows, -1)
+        matrix = lambda t: matrix_of(t["v"], t.num_rows)
         scores, found = dual_search(
             matrix(left), numbers(left, "vec_id"), left["floor"].to_numpy(), matrix(right), numbers(right, "vec_id"), k
         )
@@ -128,7 +166,7 @@ def routed(centres: np.ndarray, centre_ids: np.ndarray, dim: int, k: int, as_que
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.array(batch.column("v").to_pylist(), np.int64).reshape(batch.num_rows, dim)
+            rows = matrix_of(batch.column("v"), batch.num_rows) if dim else np.zeros((batch.num_rows, 0), np.int64)
             scores = product(rows, centres)
             near = (square[None, :] - 2.0 * scores).argmin(1)
             away = np.sqrt(((rows - centres[near]).astype(np.float64) ** 2).sum(1))
@@ -180,8 +218,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        results.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(best))
+        results.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
@@ -204,20 +241,18 @@ def top_of_dimension(vectors: DataFrame, dim: int, every: int, k: int) -> DataFr
     cells = {r["cell"]: r for r in data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
     asked = {r["cell"]: r for r in queries.groupBy("cell").agg(F.max("away").alias("radius"), F.min("floor").alias("floor")).collect()}
     norms = np.sqrt((centres.astype(np.float64) ** 2).sum(1))
-    meets = {  # blocks of the data cells that a query cell has to see
-        q: [
-            (d, b)
-            for d, cell in cells.items()
-            if float(product(centres[q : q + 1], centres[d : d + 1])[0, 0]) + norms[q] * cell["radius"]
-            + norms[d] * own["radius"] + own["radius"] * cell["radius"] + 1e-3 >= own["floor"]
-            for b in range(math.ceil(cell["n"] / DATA_BLOCK))
-        ]
+    dots = product(centres, centres)
+    meets = [  # the data cells that a query cell has to see
+        (int(q), int(d), math.ceil(cell["n"] / DATA_BLOCK))
         for q, own in asked.items()
-    }
+        for d, cell in cells.items()
+        if float(dots[q, d]) + norms[q] * cell["radius"] + norms[d] * own["radius"]
+        + own["radius"] * cell["radius"] + 1e-3 >= own["floor"]
+    ]
     turns = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    plan = vectors.sparkSession.createDataFrame(
-        [(int(q), int(d), b) for q, pairs in meets.items() for d, b in pairs] or [(-1, -1, -1)], "cell long, d long, block int"
-    ).filter("cell >= 0")
+    plan = vectors.sparkSession.createDataFrame(meets, "cell long, d long, blocks int").select(
+        "cell", "d", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    )
     blocks = F.create_map(*[x for d, c in cells.items() for x in (F.lit(int(d)), F.lit(math.ceil(c["n"] / DATA_BLOCK)))])
     left = queries.join(plan, "cell").select(
         F.col("d").alias("cell"), "block", F.pmod(F.xxhash64("vec_id"), F.lit(turns)).alias("turn"), "vec_id", "v", "query_key", "floor"

@@ -287,3 +287,19 @@ def test_pipeline_keeps_clean_documents(spark, small):
     rows = corpus_pipeline.run(spark, small)
     assert rows.select("doc_id").distinct().count() > 0.8 * docs.count()
     assert set(queries.QUERIES) >= set(queries.ORACLES) and len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("size", [1.0, 1e6])
+def test_top_products_of_many_leaves_ties_and_repeated_ids(spark, size):
+    """Integers within and beyond 53 bits; ids that stand for two vectors count once per vector."""
+    dice = random.Random(9)
+    data = [(k, [dice.choice([-1, -0.5, 0, 0.5, 1]) * size for _ in range(3)]) for k in range(1500)]
+    data += [(100, [size, size, size]), (7, [size, size, size]), (7, [0.0, size, 0.0])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in covertree.top_products(frame, 50, 5).select("query_id", "rank", "vec_id", "score").collect()]
+    whole = sorted({(k, tuple(int(np.floor(256 * x)) for x in v)) for k, v in data})
+    want = []
+    for q in {k for k, _ in whole if k % 50 == 0}:
+        pairs = [(-sum(x * y for x, y in zip(v, w)), k) for i, v in whole if i == q for k, w in whole if k != q]
+        want += [(q, n, k, -s) for n, (s, k) in enumerate(sorted(pairs)[:5], 1)]
+    assert sorted(got) == sorted(want)
