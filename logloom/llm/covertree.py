@@ -20,31 +20,36 @@ LEAF, FAN = 256, 16
 
 
 class Node:
-    """Points within ``radius`` of ``centre``: row numbers of a leaf, or children."""
+    """Points within ``radius`` of ``centre``, their mean: row numbers of a leaf, or children."""
 
     __slots__ = ("centre", "norm", "radius", "rows", "children")
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: np.ndarray):
-        away = np.sqrt(((points[rows] - centre) ** 2).sum(1))
-        self.centre, self.norm = centre, float(np.sqrt((centre**2).sum()))
-        self.radius, self.rows, self.children = float(away.max(initial=0.0)), rows, []
+    def __init__(self, points: np.ndarray, rows: np.ndarray):
+        self.centre = points[rows].mean(0)
+        away = np.sqrt(((points[rows] - self.centre) ** 2).sum(1))
+        self.norm, self.radius = float(np.sqrt((self.centre**2).sum())), float(away.max(initial=0.0))
+        self.rows, self.children = rows, []
         if len(rows) > LEAF and self.radius > 0:
-            self.split(points, away)
+            self.split(points)
 
-    def split(self, points: np.ndarray, away: np.ndarray) -> None:
-        """Centres at least half the radius apart that cover the points at that scale, or ``FAN`` of them."""
+    def split(self, points: np.ndarray) -> None:
+        """One child for each of up to ``FAN`` points that are more than half the radius apart.
+
+        The next such point is the first one not covered, as if points were inserted one by one, and
+        every point goes to the nearest.  Neither the mean nor the farthest points are taken: where all
+        distances are alike, the mean is nearest to everything and each far point stands alone.
+        """
         mine = points[self.rows]
-        nearest, owner, centres = away.copy(), np.zeros(len(mine), np.int64), [self.centre]
-        while len(centres) < FAN and nearest.max() > self.radius / 2:
-            far = mine[int(nearest.argmax())]
-            d = np.sqrt(((mine - far) ** 2).sum(1))
+        nearest, owner = np.full(len(mine), np.inf), np.zeros(len(mine), np.int64)
+        for k in range(FAN):
+            d = np.sqrt(((mine - mine[int((nearest > self.radius / 2).argmax())]) ** 2).sum(1))
             closer = d < nearest
-            nearest[closer], owner[closer] = d[closer], len(centres)
-            centres.append(far)
-        groups = [np.flatnonzero(owner == k) for k in range(len(centres))]
-        groups = [(k, g) for k, g in enumerate(groups) if len(g)]
+            nearest[closer], owner[closer] = d[closer], k
+            if nearest.max() <= self.radius / 2:
+                break
+        groups = [g for g in (np.flatnonzero(owner == k) for k in range(FAN)) if len(g)]
         if len(groups) > 1:
-            self.children = [Node(points, self.rows[g], centres[k]) for k, g in groups]
+            self.children = [Node(points, self.rows[g]) for g in groups]
 
 
 def fits_floats(a: np.ndarray, b: np.ndarray) -> bool:
@@ -95,8 +100,8 @@ def dual_search(queries, query_ids, floors, data, data_ids, k):
     found = np.full((len(queries), k), np.iinfo(np.int64).max)
     worst = floors.astype(np.float64).copy()
     q_float, d_float = queries.astype(np.float64), data.astype(np.float64)
-    q_root = Node(q_float, np.arange(len(queries)), q_float.mean(0))
-    d_root = Node(d_float, np.arange(len(data)), d_float.mean(0))
+    q_root = Node(q_float, np.arange(len(queries)))
+    d_root = Node(d_float, np.arange(len(data)))
     exact = fits_floats(queries, data)
 
     def bound(q: Node, d: Node) -> float:
