@@ -5,9 +5,9 @@ Rows stay in Spark; the driver sees only matrices over the V event types and per
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -111,22 +111,45 @@ def near_zero_counts(distinct: DataFrame, directions: np.ndarray, tolerance: flo
     return out
 
 
-def _integer_weights(small_gram: np.ndarray, scales: Sequence[int]) -> list[np.ndarray]:
-    """Whole-number versions of the weakest direction, its smallest part scaled to each of ``scales``.
+def weakest_weights(full: np.ndarray, sets: np.ndarray, scales: Sequence[int]) -> np.ndarray:
+    """Whole-number weights of each column set for each scale, shape (sets, scales, length).
 
-    None when a part of the direction vanishes; versions with a zero part are left out.
+    They are the direction in which the set's columns vary least, with its smallest part as large as the
+    scale.  Rows with a part that vanishes are nan.
     """
-    weakest = np.linalg.svd(small_gram)[0][:, -1]
-    if (np.abs(weakest) < 1e-6).any():
-        return []
-    least = int(np.argmin(np.abs(weakest)))
-    out = []
-    for scale in scales:
-        weights = np.round(weakest * (scale / weakest[least]))
-        weights[least] = scale
-        if weights.all():
-            out.append(weights)
-    return out
+    blocks = full[sets[:, :, None], sets[:, None, :]]
+    weakest = np.linalg.eigh(blocks)[1][:, :, 0]
+    least = np.take_along_axis(weakest, np.abs(weakest).argmin(1)[:, None], 1)
+    usable = np.abs(least) >= 1e-6
+    whole = np.rint(np.where(usable, weakest, np.nan)[:, None, :] / least[:, None, :] * np.array(scales)[None, :, None])
+    return np.where((whole == 0).any(2, keepdims=True), np.nan, whole)
+
+
+def holding_sets(
+    distinct: DataFrame, full: np.ndarray, sets: list[tuple[int, ...]], scales: Sequence[int], enough: float, batch: int
+) -> pd.DataFrame:
+    """``columns, weights, held`` of the sets that hold for at least ``enough`` rows, each with its
+    first scale that does; one pass over the distinct vectors for every ``batch`` sets."""
+    tables = []
+    for at in range(0, len(sets), batch):
+        part = sets[at : at + batch]
+        weights = weakest_weights(full, np.array(part), scales)
+        which, scale = np.nonzero(~np.isnan(weights).any(2))
+        directions = np.zeros((len(full), len(which)))
+        for i, (w, s) in enumerate(zip(which, scale)):
+            directions[list(part[w]), i] = weights[w, s]
+        held = near_zero_counts(distinct, directions, 1e-8) if len(which) else np.zeros(0)
+        table = pd.DataFrame({"columns": [part[w] for w in which], "scale": scale, "held": held})
+        table["weights"] = [weights[w, s].tolist() for w, s in zip(which, scale)]
+        tables.append(table[table["held"] >= enough].sort_values("scale").drop_duplicates("columns"))
+    return pd.concat(tables) if tables else pd.DataFrame(columns=["columns", "scale", "held", "weights"])
+
+
+def longer_sets(sets: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Sets with one column more, all of whose parts are among ``sets``."""
+    known, last = set(sets), sorted({s[-1] for s in sets})
+    more = (s + (c,) for s in sets for c in last[bisect_right(last, s[-1]) :])
+    return [m for m in more if all(m[:i] + m[i + 1 :] in known for i in range(len(m) - 1))]
 
 
 def fit_invariants(
@@ -139,93 +162,38 @@ def fit_invariants(
 ) -> dict[tuple[int, ...], list[float]]:
     """Weights over few columns that give 0 for at least ``percentage`` of the rows.
 
-    The driver searches over column sets only; each batch of candidates costs one Spark pass over
-    the distinct vectors, and the weights of a candidate come from its part of the Gram matrix.
+    All sets of one length are judged together: those that hold are invariants, but for the ones that
+    follow from others (most rows held first, then by columns), and only sets that don't hold grow.
+    The search ends with the length at which there are as many as the data has weak directions.
+    The driver handles column sets and their counts only.
     """
     full = gram(vectors)
-    width = full.shape[0]
+    width, rows = len(full), vectors.count()
     distinct = distinct_vectors(vectors)
-    rows = vectors.count()
-    left = np.linalg.svd(full)[0]
-    shares = near_zero_counts(distinct, left, epsilon)[::-1] / rows
-    wanted = width if (shares >= percentage).all() else int(np.argmax(shares < percentage))
-
-    found: dict[tuple[int, ...], list[float]] = {
-        (c,): [1.0] for c in range(width) if full[c, c] == 0
-    }
-    alive = {(c,) for c in range(width)} - set(found)
-    level, length = sorted(alive), 2
-    while level and not (longest and length > longest):
-        candidates = _join_level(level, alive)
-        alive.update(candidates)
-        level, done = [], False
-        for at in range(0, len(candidates), batch):
-            group = [c for c in candidates[at : at + batch] if c in alive]
-            weights = _valid_weights(distinct, full, group, scales, percentage * rows)
-            for columns in group:
-                if columns not in alive:
-                    continue
-                if length > 2 and not _parts_alive(columns, alive):
-                    alive.discard(columns)
-                    continue
-                if columns in weights:
-                    _forget_implied(found, columns, alive)
-                    found[columns] = weights[columns]
-                    alive.discard(columns)
-                else:
-                    level.append(columns)
-                if len(found) >= wanted:
-                    done = True
-                    break
-            if done:
-                return found
+    holds = near_zero_counts(distinct, np.linalg.eigh(full)[1], epsilon) >= percentage * rows
+    wanted = int(np.cumprod(holds).sum())  # weak directions come first
+
+    found: dict[tuple[int, ...], list[float]] = {(c,): [1.0] for c in range(width) if full[c, c] == 0}
+    basis = [np.eye(width)[c] for (c,) in found]
+    sets, length = [(c,) for c in range(width) if full[c, c] != 0], 1
+    while sets and len(found) < wanted and length != longest:
         length += 1
+        sets = longer_sets(sets)
+        holding = holding_sets(distinct, full, sets, scales, percentage * rows, batch)
+        order = sorted(zip(-holding["held"], holding["columns"], holding["weights"]))
+        for _, columns, weights in order:
+            new = np.zeros(width)
+            new[list(columns)] = weights
+            new /= np.linalg.norm(new)
+            for known in basis:
+                new = new - (known @ new) * known
+            if np.linalg.norm(new) > 1e-6:
+                basis.append(new / np.linalg.norm(new))
+                found[columns] = weights
+        sets = sorted(set(sets) - set(holding["columns"]))
     return found
 
 
-def _parts_alive(columns: tuple[int, ...], alive: set) -> bool:
-    return all(part in alive for part in combinations(columns, len(columns) - 1))
-
-
-def _join_level(level: list[tuple[int, ...]], alive: set) -> list[tuple[int, ...]]:
-    """Sets one longer whose parts are all alive, from sets that share all but the last column."""
-    heads: dict[tuple[int, ...], list[int]] = {}
-    for columns in level:
-        heads.setdefault(columns[:-1], []).append(columns[-1])
-    joined = (head + pair for head, tails in heads.items() for pair in combinations(sorted(tails), 2))
-    return sorted(columns for columns in joined if _parts_alive(columns, alive))
-
-
-def _forget_implied(found: dict, columns: tuple[int, ...], alive: set) -> None:
-    """Drop sets that follow from the new invariant and one that shares a column with it."""
-    for other in found:
-        union = set(other) | set(columns)
-        for shared in set(other) & set(columns):
-            alive.discard(tuple(sorted(union - {shared})))
-
-
-def _valid_weights(
-    distinct: DataFrame, full: np.ndarray, group: list, scales: Sequence[int], enough: float
-) -> dict[tuple[int, ...], list[float]]:
-    """First integer weights of each candidate that hold often enough; one pass for the group."""
-    tries = [
-        (columns, weights)
-        for columns in group
-        for weights in _integer_weights(full[np.ix_(columns, columns)], scales)
-    ]
-    if not tries:
-        return {}
-    directions = np.zeros((full.shape[0], len(tries)))
-    for i, (columns, weights) in enumerate(tries):
-        directions[list(columns), i] = weights
-    counts = near_zero_counts(distinct, directions, 1e-8)
-    out: dict[tuple[int, ...], list[float]] = {}
-    for (columns, weights), n in zip(tries, counts):
-        if n >= enough:
-            out.setdefault(columns, weights.tolist())
-    return out
-
-
 def score_invariants(vectors: DataFrame, invariants: dict[tuple[int, ...], list[float]]) -> DataFrame:
     """``broken`` = Σ |x·θ| over the invariants, anomalous above 1e-6; all in the JVM."""
     values = F.col("values")

@@ -197,6 +197,19 @@ def test_invariants(rows):
     assert got == [0, 1, 1]
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_invariants_of_three_columns(rows, partitions):
+    rng = np.random.default_rng(3)
+    a, b, c = rng.integers(1, 9, size=(3, 300))
+    df = vectors(rows, np.stack([a, b, a + b, c], axis=1)).repartition(partitions)
+    found = matrix.fit_invariants(df)
+    assert set(found) == {(0, 1, 2)} and found[(0, 1, 2)] in ([1.0, 1.0, -1.0], [-1.0, -1.0, 1.0])
+    # Of three equal columns two pairs say everything.
+    found = matrix.fit_invariants(vectors(rows, np.stack([a, a, a, c], axis=1)).repartition(partitions))
+    assert sorted(found) == [(0, 1), (0, 2)]
+    assert matrix.longer_sets([(0, 1), (0, 2), (1, 2), (1, 3)]) == [(0, 1, 2)]
+
+
 def test_clusters(rows):
     rng = np.random.default_rng(0)
     kinds = np.array([[9, 1, 0, 0], [0, 0, 9, 2.0]])
