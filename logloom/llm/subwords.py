@@ -263,11 +263,15 @@ def after_first(lists: pa.Array) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(offsets, values.filter(pa.array(keep)))
 
 
+#: Bytes of text at once: ids, words and decoded text of a slice take many times as much.
+SLICE_BYTES = 12 << 20
+
+
 def encode_batches(proto: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(proto)
         mark = pa.scalar(SPACE, pa.large_string())
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=SLICE_BYTES):
             full = pc.binary_length(texts).to_numpy() > 0  # an empty text gets no first mark
             marked = pc.if_else(
                 pa.array(full),
