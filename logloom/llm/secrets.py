@@ -24,7 +24,20 @@ ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")  # a longest run of 16 or more is a longest run that isn't too short
 #: Kinds that are reported only once their structure has been parsed.
 PARSED_KINDS = ("jwt", "rsa_key", "pkcs8_key", "ec_key", "openssh_key")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/_-]+)*={0,2}")
+#: A run of base64 and, after line breaks, its further lines.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/_-]+)*")
+#: One stretch of base64, what may part two stretches of one key (blanks, line breaks, also escaped
+#: ones, and the backslash of an escaped slash), and what mustn't follow on a key.
+STRETCH = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAK = re.compile(r"(?:\s|\\+[rn]|\\+(?=/))+")
+GOES_ON = re.compile(r"-?[A-Za-z0-9+/_]")
+PADDING = re.compile(r"={0,2}")
+#: How a key begins in base64, wherever it stands: tag 0x30, a short or long length and a version of
+#: 0 or 1; or the magic of an OpenSSH container.
+KEY_START = re.compile(
+    r"M(?:[A-H]~CAQ[AE]|I(?:[GH]~AgE[AB]|[I-L]~~[AQgw]IBA|[M-P]~~~~CAQ[AE]|[Q-T]~~~~~AgE[AB]))"
+    r"|b3BlbnNzaC1rZXktdjEA".replace("~", r"(?:[A-Za-z0-9+_-]|\\*/)")
+)
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 OPENSSH = b"openssh-key-v1\0"
@@ -103,6 +116,64 @@ def openssh_key(data: bytes) -> str | None:
     return "openssh_key"
 
 
+def unwrapped(text: str, at: int, size: int) -> tuple[bytes, int]:
+    """The first ``size`` bytes, or fewer, of the base64 that starts at ``at``, and where they end."""
+    chars, parts = -(-size * 4 // 3), []
+    while m := STRETCH.match(text, at, at + chars):
+        parts.append(m[0])
+        at, chars = m.end(), chars - len(m[0])
+        gap = BREAK.match(text, at) if chars else None
+        if gap is None or not STRETCH.match(text, gap.end()):
+            break
+        at = gap.end()
+    plain = "".join(parts)
+    return (decoded(plain[: len(plain) - (len(plain) % 4 == 1)]) or b"")[:size], at
+
+
+def wrapped_der_key(text: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the DER key in base64 at ``at``: as long as its outer length says, and no more."""
+    head, _ = unwrapped(text, at, 16)
+    width = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+    size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1] if len(head) > 1 else 0)
+    version = 2 + width
+    if len(head) < version + 4 or head[version + 3] not in (0x02, 0x04, 0x30) or size > len(text) - at:
+        return None
+    data, end = unwrapped(text, at, size)
+    kind = der_key(data) if len(data) == size else None
+    if kind is None or GOES_ON.match(text, end):
+        return None
+    return kind, PADDING.match(text, end).end()
+
+
+def wrapped_openssh_key(text: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the OpenSSH container in base64 at ``at``; one that is cut off ends with its lines."""
+    size, fields, seen = len(OPENSSH), 3, 0
+    while seen < fields:
+        data, _ = unwrapped(text, at, size + 4)
+        if len(data) < size + 4 or size > len(text) - at:
+            break
+        number = int.from_bytes(data[size:], "big")
+        size, seen = size + 4, seen + 1
+        if fields == 3 and seen == 3:  # the options are followed by the number of public keys
+            size += number
+            data, _ = unwrapped(text, at, size + 4) if size < len(text) - at else (b"", at)
+            if len(data) < size + 4 or not 1 <= int.from_bytes(data[size:], "big") <= 16:
+                return None
+            fields += int.from_bytes(data[size:], "big") + 1  # public keys, then the private part
+            size += 4
+        else:
+            size += number
+    if fields == 3:
+        return None
+    if seen == fields and size <= len(text) - at:
+        data, end = unwrapped(text, at, size)
+        if len(data) == size:
+            return "openssh_key", PADDING.match(text, end).end()
+    closing = text.find("-----", at)
+    run = BASE64.match(text, at, closing if closing >= 0 else len(text))
+    return ("openssh_key", PADDING.match(text, run.end()).end()) if run else None
+
+
 def decoded(candidate: str) -> bytes | None:
     """Bytes of base64 in either alphabet, with or without line breaks and padding."""
     plain = re.sub(r"\r?\n|\\n|=", "", candidate).replace("-", "+").replace("_", "/")
@@ -125,20 +196,22 @@ def signed_token(candidate: str) -> bool:
 
 
 def parsed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, order of kind, end) of candidates whose decoded bytes have the structure of a secret."""
+    """(start, order of kind, end) of candidates whose decoded bytes have the structure of a secret.
+
+    Keys in base64 start anywhere, also after an escaped line break, may be broken into lines, and
+    end where their own lengths say, so it doesn't matter what follows or whether they are padded.
+    """
     spans, first = [], len(BASE_KINDS)
     if "eyJ" in text:
         for m in TOKEN.finditer(text):
             if signed_token(m[0]):
                 spans.append((m.start(), first, m.end()))
-    for m in BASE64.finditer(text):
-        start = m.start()
-        # DER begins with byte 0x30 and a length form, an OpenSSH container with its magic
-        if text[start] in "Mb":
-            data = decoded(m[0])
-            kind = data and (der_key(data) or openssh_key(data))
-            if kind:
-                spans.append((start, first + PARSED_KINDS.index(kind), m.end()))
+    at = 0
+    while m := KEY_START.search(text, at):
+        found = (wrapped_der_key if m[0][0] == "M" else wrapped_openssh_key)(text, m.start())
+        at = found[1] if found else m.start() + 1
+        if found:
+            spans.append((m.start(), first + PARSED_KINDS.index(found[0]), at))
     for m in HEX_ANY.finditer(text):
         if m[0].startswith(("30", "6f")):
             kind = der_key(bytes.fromhex(m[0])) or openssh_key(bytes.fromhex(m[0]))

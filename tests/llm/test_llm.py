@@ -240,6 +240,41 @@ def test_secrets_confirmed_by_structure(spark, odd, none):
     assert secrets.find_secrets(odd).count() == odd.count() and secrets.find_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize("extra", range(3))
+def test_keys_in_every_layout(extra):
+    """PEM in lines, escaped, glued or indented; padded and not, as the length modulo 3 has it."""
+    import base64
+    import textwrap
+
+    from logloom.llm.secrets import covered, parsed_spans
+
+    def tlv(tag, content):
+        n = len(content)
+        size = bytes([n]) if n < 128 else bytes([129, n]) if n < 256 else bytes([130]) + n.to_bytes(2, "big")
+        return bytes([tag]) + size + content
+
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    noise = random.Random(extra).randbytes
+    number = lambda n: tlv(2, b"\1" + noise(n))
+    version = lambda v: tlv(2, bytes([v]))
+    rsa = lambda k: tlv(0x30, version(0) + number(130 + k) + b"".join(number(60) for _ in range(7)))
+    ec = lambda k: tlv(0x30, version(1) + tlv(4, noise(32 + k)) + tlv(0xA0, tlv(6, noise(8))))
+    pkcs8 = lambda k: tlv(0x30, version(0) + tlv(0x30, tlv(6, noise(9)) + b"\5\0") + tlv(4, rsa(k)))
+    ssh = lambda k: b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(noise(51)) + field(noise(136 + k))
+    short = lambda k: tlv(0x30, version(0) + tlv(0x30, tlv(6, noise(3))) + tlv(4, tlv(4, noise(32 + k))))
+    kinds = {"RSA ": (rsa, "rsa_key"), "EC ": (ec, "ec_key"), "": (pkcs8, "pkcs8_key"), "OPENSSH ": (ssh, "openssh_key"), "SHORT ": (short, "pkcs8_key")}
+    for name, (make, kind) in kinds.items():
+        whole = base64.b64encode(make(extra)).decode()
+        for body in {whole, whole.rstrip("=")}:
+            for line, escape in [("\n", str), ("\r\n", str), ("\\n", str), ("\\r\\n", str), ("\\\\n", str), ("", str), (" ", str), ("\n    ", str), ("\\n", lambda x: x.replace("/", "\\/"))]:
+                inner = escape(line.join(textwrap.wrap(body, 64)))
+                for before, after in [(f"-----BEGIN {name}PRIVATE KEY-----{line}", f"{line}-----END {name}PRIVATE KEY-----"), ("the key ", " and ordinary prose"), ("", "\nordinary prose"), ("", "")]:
+                    text = before + inner + after
+                    assert parsed_spans(text) == [(len(before), 3 + secrets.PARSED_KINDS.index(kind), len(before) + len(inner))], (kind, text)
+                    assert covered(text, parsed_spans(text)) == f"{before}[secret]{after}"
+                assert kind == "openssh_key" or parsed_spans(inner[: -len(inner) // 4]) == []
+
+
 def test_token_counts_like_plain_forward_steps(odd, none):
     with open(PIECES, "rb") as file:
         scores = counts.zipf_scores(file.read())
