@@ -147,6 +147,39 @@ def test_probing_misses_no_link(spark):
         assert got == want
 
 
+def test_near_copies_by_similarity_like_all_pairs(spark, odd, none):
+    """The stage links every pair that shares 0.8 of its runs of five words, and no other pair."""
+    dice = random.Random(11)
+    data = []
+    for group in range(12):
+        base = [f"w{dice.randint(0, 9999)}" for _ in range(300)]
+        for copy in range(6):
+            new = list(base)
+            for at in dice.sample(range(300), copy):
+                new[at] = f"x{dice.randint(0, 9999)}"
+            data.append(" ".join(new))
+    data += ["the same few words again " * 40 + " ".join(f"{k}v{i}" for i in range(20)) for k in range(5)]
+    base = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").union(
+        odd.filter("doc_id is not null").select(F.col("doc_id") + 1000, "text")
+    )
+    sets = {}
+    for d, t in texts(base):
+        words = t.encode().lower().split()
+        sets[d] = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+    near = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y) and x and y
+    top, links = {d: d for d in sets}, 0
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and near(sets[a], sets[b]):
+                links += sets[a] != sets[b]
+                low, high = sorted((top[a], top[b]))
+                top = {d: low if t == high else t for d, t in top.items()}
+    assert links > 100
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert sorted(r["doc_id"] for r in stage(spark, base, "").collect()) == sorted(set(top.values()))
+    assert stage(spark, none, "").count() == 0
+
+
 def test_lines_like_sql(spark, odd, none):
     data = [(k, f"unique number {'abc'[k % 3]} of\nalpha beta gamma delta w{chr(97 + k)} eps zeta eta\nrun 12{k} of the job\nid") for k in range(6)]
     base = odd.select("doc_id", "text").filter("doc_id is not null").union(spark.createDataFrame(data, "doc_id long, text string").select(F.col("doc_id") + 100, "text"))
