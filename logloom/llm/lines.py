@@ -82,9 +82,11 @@ def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, constant: floa
 
 
 def drop_recurring(
-    docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float = 0.75, least: int = 3
+    docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float = 0.75, least: int = 3, recur: int | None = None
 ) -> DataFrame:
-    """Drop lines whose template recurs in ``min_docs`` documents, but for the first document's.
+    """Drop lines whose template recurs in ``recur`` documents, but for the first document's.
+
+    ``min_docs`` is the support that a word needs to be constant; ``recur`` is the same if not given.
 
     The columns of ``docs`` come back with ``text`` without these lines, and with n_lines and
     n_dropped, which ``docs`` must not have.  Lines parse into leaves by their number of words and their first ``depth``
@@ -108,7 +110,7 @@ def drop_recurring(
     recurring = written(  # a table, so that the join below can be split where a template is frequent
         placed.groupBy("template", "doc").agg(F.min(order).alias("order"))
         .groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("order").alias("first"))
-        .filter(F.col("docs") >= min_docs)
+        .filter(F.col("docs") >= (min_docs if recur is None else recur))
         .select("template", F.col("first.doc").alias("first")),
         "recurring",
     )

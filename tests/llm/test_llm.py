@@ -194,6 +194,14 @@ def test_lines_like_sql(spark, odd, none):
     assert kept[100] == data[0][1] and "delta" not in kept[103] and "job" not in kept[103]
 
 
+def test_stage_drops_a_passage_of_two_documents(spark):
+    passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    data = [(1, f"first of all lines here\n{passage}"), (2, f"second among many others\n{passage}"), (3, "third line alone stays")]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["lines"](spark, frame, "").collect()}
+    assert got == {1: data[0][1], 2: "second among many others", 3: data[2][1]}
+
+
 def test_edits_and_likeness(odd, docs, none):
     rows = imatch.fingerprint_edits(docs).toPandas().sort_values("doc_id", ascending=False)
     have = dict(texts(docs))
