@@ -21,37 +21,50 @@ def plain(line: Column) -> Column:
     return F.trim(spaced, F.lit(BLANKS))
 
 
-def line_rows(docs: DataFrame, depth: int, least: int) -> DataFrame:
+def spaced(line: Column) -> Column:
+    """The line as it is, without outer blanks, words one space apart."""
+    return F.trim(F.regexp_replace(line, GAP, " "), F.lit(BLANKS))
+
+
+def line_rows(docs: DataFrame, depth: int, least: int, share: float = 0) -> DataFrame:
     """One slim row per line of at least ``least`` words: where it is, its leaf and its plain form.
 
-    A leaf of the tree is a number of words and the first ``depth`` words.
+    A leaf of the tree is a number of words and the first ``depth`` words.  Lines in which less than
+    ``share`` of the words are without digits have no leaf, and their own words as form.
     """
     words = F.col("words")
+    form = F.struct(F.xxhash64(words).alias("h"), F.hash(words).alias("more"))  # 96 bits
+    leaf = F.xxhash64(F.size(words), F.slice(words, 1, depth))
+    if share:
+        fixed = F.size(F.filter(words, lambda w: w != FIELD)) >= F.size(words) * share
+        own = F.split(spaced(F.col("line")), " ")
+        form = F.when(fixed, form).otherwise(F.struct(F.xxhash64(own, F.lit(1)).alias("h"), F.hash(own, F.lit(1)).alias("more")))
+        leaf = F.when(fixed, leaf)
     return (
         docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         # a generator, so that the filter isn't pushed below the split and made to repeat it
-        .select("doc_id", "doc", "pos", F.explode(F.array(F.split(plain(F.col("line")), " "))).alias("words"))
+        .select("doc_id", "doc", "pos", *["line"] * (share > 0), F.explode(F.array(F.split(plain(F.col("line")), " "))).alias("words"))
         .filter((F.size(words) >= least) & (words[0] != ""))
         .select(
             "doc_id",
             "doc",
             "pos",
             F.size(words).alias("n"),
-            F.xxhash64(F.size(words), F.slice(words, 1, depth)).alias("leaf"),
-            F.struct(F.xxhash64(words).alias("h"), F.hash(words).alias("more")).alias("form"),  # 96 bits
+            leaf.alias("leaf"),
+            form.alias("form"),
         )
     )
 
 
-def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
+def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, constant: float, share: float = 0) -> DataFrame:
     """Templates of forms that are not frequent by themselves: (form, template).
 
     In each leaf a word is constant at its position if forms in ``min_docs`` documents have it there;
     other words become fields.  A form takes part if at least the share ``constant`` of its words is
-    constant, and not all.  The text of one line for each form is fetched by document.
+    constant, and not all; with ``share``, words with digits are not counted as constant.  The text of one line for each form is fetched by document.
     """
     place = F.struct("doc", "pos")
-    forms = lines.groupBy("leaf", "form", "n").agg(
+    forms = lines.filter("leaf is not null").groupBy("leaf", "form", "n").agg(
         F.min(place).alias("at"), F.count_distinct("doc").alias("docs")
     )
     leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("docs").alias("leaf_docs"))
@@ -73,20 +86,22 @@ def generalised(docs: DataFrame, lines: DataFrame, min_docs: int, constant: floa
     )
     support = words.groupBy("leaf", "k", "word").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs)
     fixed = words.join(support, ["leaf", "k", "word"])
+    counted = F.filter("words", lambda w: w["word"] != FIELD) if share else F.col("words")
     return (
         fixed.groupBy("leaf", "form", "n")
         .agg(F.sort_array(F.collect_list(F.struct("k", "word"))).alias("words"))  # words of one line
-        .filter((F.size("words") >= F.col("n") * constant) & (F.size("words") < F.col("n")))
+        .filter((F.size(counted) >= F.col("n") * constant) & (F.size("words") < F.col("n")))
         .select("form", F.struct(F.xxhash64("leaf", "words").alias("h"), F.hash("words", "leaf").alias("more")).alias("template"))
     )
 
 
 def drop_recurring(
-    docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float = 0.75, least: int = 3, recur: int | None = None
+    docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float = 0.75, least: int = 3, recur: int | None = None, share: float = 0
 ) -> DataFrame:
     """Drop lines whose template recurs in ``recur`` documents, but for the first document's.
 
     ``min_docs`` is the support that a word needs to be constant; ``recur`` is the same if not given.
+    A line in which less than ``share`` of the words are without digits recurs only as it stands.
 
     The columns of ``docs`` come back with ``text`` without these lines, and with n_lines and
     n_dropped, which ``docs`` must not have.  Lines parse into leaves by their number of words and their first ``depth``
@@ -98,8 +113,8 @@ def drop_recurring(
     all come back; an empty table gives no rows.  Only hashes of lines are grouped: a template that
     a third of all lines share is summed before it is shuffled.  The text is shuffled by document.
     """
-    lines = written(line_rows(docs, depth, least), "lines")
-    templates = generalised(docs, lines, min_docs, constant)
+    lines = written(line_rows(docs, depth, least, share), "lines")
+    templates = generalised(docs, lines, min_docs, constant, share)
     placed = written(
         lines.join(templates, "form", "left").select(
             "doc_id", "doc", "pos", F.coalesce("template", "form").alias("template")

@@ -202,6 +202,15 @@ def test_stage_drops_a_passage_of_two_documents(spark):
     assert got == {1: data[0][1], 2: "second among many others", 3: data[2][1]}
 
 
+def test_stage_keeps_distinct_numbers(spark):
+    """Lines of numbers go only if the same numbers recur, and words with digits are no constant words."""
+    data = [(k, f"1{k} 34 5{k}\n7 8 9\nrow 4{k} at 2{k}.5 degrees 3{k}\nthe job took {k}7 seconds in all") for k in range(1, 5)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["lines"](spark, frame, "").collect()}
+    assert got[1] == data[0][1]
+    assert all(got[k] == f"1{k} 34 5{k}\nrow 4{k} at 2{k}.5 degrees 3{k}" for k in (2, 3, 4))
+
+
 def test_edits_and_likeness(odd, docs, none):
     rows = imatch.fingerprint_edits(docs).toPandas().sort_values("doc_id", ascending=False)
     have = dict(texts(docs))
