@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from logloom.session import written
 
-#: The lexicon has a fixed number of slots, so its size does not depend on the corpus.
-SLOT_BITS = 20
 LADDERS = 16
 LARGEST = (1 << 63) - 1
 #: Where the ladders start among the hashes: one in each sixteenth, at odd places.
 LADDER_STARTS = [(r << 59) | (0x5A17C3D2E4B60F9 >> r) for r in range(LADDERS)]
-IDS_PER_BLOCK = 1 << 16
 
 
 def terms(text: Column) -> Column:
@@ -22,59 +19,59 @@ def terms(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def slot(term: Column) -> Column:
-    return term.bitwiseAND((1 << SLOT_BITS) - 1)
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(term, idf) of each term: log(n / documents with it) as a share of the largest, log(n)."""
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counted.select("term", (F.log(n / F.col("df")) / F.log(F.greatest(n, F.lit(2)))).alias("idf"))
 
 
-def lexicon(docs: DataFrame, low: float = 0.25, high: float = 0.95) -> Column:
-    """A bitmap of the slots whose inverse document frequency lies in the band, as a constant.
+def banded_terms(texts: DataFrame, found: DataFrame, low: float, high: float) -> DataFrame:
+    """(key, of_text, of_edited): the terms in the band of both texts of each key, which may be none.
 
-    The frequency of a slot counts all documents with a term of it.  The bounds are shares of the
-    largest frequency log(n): common terms lie below ``low``, those of a single document above ``high``.
+    ``texts`` has key, text and edited; ``found`` is a table of frequencies.  Common terms lie below
+    ``low``, those of a single document above ``high``.  Common terms are few, as each takes many
+    documents, and go first, so that no term has many of the rows that are dealt by term.
     """
-    slots = docs.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), slot))).alias("slot"))
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = F.log(n / F.col("df")) / F.log(F.greatest(n, F.lit(2)))
-    bits = (
-        slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
-        .filter((idf >= low) & (idf <= high))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))).alias("bits"))
+    own, new = terms(F.col("text")), terms(F.col("edited"))
+    sides = lambda these, side: F.transform(these, lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
+    rows = (
+        texts.select("key", own.alias("own"), new.alias("new"))
+        .select("key", F.explode(F.concat(
+            sides(F.array_intersect("own", "new"), 3), sides(F.array_except("own", "new"), 1), sides(F.array_except("new", "own"), 2)
+        )).alias("t"))
+        .select("key", "t.term", "t.side")
+    )
+    of = lambda side: F.array_sort(F.collect_set(F.when(F.col("side").bitwiseAND(side) > 0, F.col("term"))))
+    return (
+        rows.join(found.filter(F.col("idf") < low), "term", "left_anti")
+        .join(found.filter(F.col("idf").between(low, high)), "term", "left_semi")
+        .groupBy("key").agg(of(1).alias("of_text"), of(2).alias("of_edited"))  # terms of one text
     )
-    words = docs.sparkSession.range(1 << (SLOT_BITS - 6)).withColumnRenamed("id", "word")
-    each = F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    bitmap = F.transform(F.sort_array(F.collect_list(each)), lambda e: e["bits"])
-    # 16,384 numbers, whatever the corpus
-    return F.from_json(F.lit(words.join(bits, "word", "left").agg(F.to_json(bitmap)).first()[0]), "array<bigint>")
 
 
 def shifted(value: Column, places: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, places)
 
 
-def with_fingerprint(df: DataFrame, text: str, lexicon_bits: Column, name: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: str, in_band: str, name: str) -> DataFrame:
     """Add ``name``, the fingerprint of the column ``text``: an array of ``LADDERS`` hashes.
 
     A ladder is a nest of random lexicons, each with half of the terms of the one before: those whose
     hashes share one more leading bit with the ladder's start.  A document is hashed on the smallest
-    of these lexicons that has any of its terms, so long and short documents are told apart alike.
-    A document without terms in the band is hashed on all its terms.
+    of these lexicons that has any of its terms ``in_band``, so long and short documents are told apart
+    alike.  A document without terms in the band is hashed on all its terms.
     """
-    found, banded, rungs = f"{name}_found", f"{name}_banded", f"{name}_rungs"
-    in_band = lambda t: shifted(
-        F.element_at(lexicon_bits, (F.shiftright(slot(t), 6) + 1).cast("int")), slot(t).bitwiseAND(63).cast("int")
-    ).bitwiseAND(1) == 1
+    banded, rungs = f"{name}_banded", f"{name}_rungs"
     starts = F.array(*[F.lit(c).cast("long") for c in LADDER_STARTS])
     away = lambda t, start: t.bitwiseXOR(start).bitwiseAND(LARGEST)
     rung = lambda start: F.length(F.bin(F.array_min(F.transform(banded, lambda t: away(t, start)))))
     near = lambda start, bits: F.xxhash64(F.filter(banded, lambda t: shifted(away(t, start), bits) == 0))
     return (
-        df.withColumn(found, terms(F.col(text)))
-        .withColumn(banded, F.filter(found, in_band))
-        .withColumn(banded, F.when(F.size(banded) > 0, F.col(banded)).otherwise(F.col(found)))
+        df.withColumn(banded, F.when(F.size(in_band) > 0, F.col(in_band)).otherwise(terms(F.col(text))))
         .withColumn(rungs, F.transform(starts, rung))
         .withColumn(name, F.zip_with(starts, rungs, near))
-        .drop(found, banded, rungs)
+        .drop(banded, rungs)
     )
 
 
@@ -91,16 +88,15 @@ def shown(fingerprint: str) -> Column:
 def next_ids(docs: DataFrame) -> DataFrame:
     """(asker, next, wanted) for each doc_id, in structs: the next lower id, or the first for the last.
 
-    wanted is a third of the asker's code points.  Ids are ordered in blocks of consecutive numbers;
-    one small row per block that has any goes through the one window without keys.
+    wanted is a third of the asker's code points.  Ids are ordered in ranges of about equal numbers of
+    ids; one small row per range goes through the one window without keys.
     """
     sizes = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
     ids = sizes.select(
         F.struct("doc_id").alias("asker"),
         F.floor(F.col("n") / 3).cast("int").alias("wanted"),
-        F.floor(F.col("doc_id") / IDS_PER_BLOCK).alias("block"),
     )
-    ids = written(ids, "ids")
+    ids = written(ids.repartitionByRange("asker").withColumn("block", F.spark_partition_id()), "ids")
     along, every = Window.orderBy("block"), Window.partitionBy()
     edges = (
         ids.groupBy("block").agg(F.max("asker").alias("last"))
@@ -109,7 +105,7 @@ def next_ids(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("block").orderBy("asker")
     return (
         ids.withColumn("lower", F.lag("asker").over(inside)).alias("i")
-        .join(edges.alias("e"), F.col("i.block").eqNullSafe(F.col("e.block")))
+        .join(edges.alias("e"), F.col("i.block") == F.col("e.block"))
         .select("asker", F.coalesce("lower", "before").alias("next"), "wanted")
     )
 
@@ -125,7 +121,7 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.25, high: float = 0.95) ->
     as the longest of them, and as a next document show their smallest text and fingerprint; all rows
     come back.  A single document is next to itself; an empty table gives no rows.
     """
-    bits = lexicon(docs, low, high)
+    band = written(frequencies(docs).filter(F.col("idf") <= high), "frequencies")
     order = written(next_ids(docs), "order")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     heads = (
@@ -134,14 +130,16 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.25, high: float = 0.95) ->
         .groupBy("asker").agg(F.min("head").alias("head"))
     )
     n = F.length("text")
-    edited = (
+    edited = written(
         texts.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.asker")))
         .select(
-            "doc_id", "text", n.cast("long").alias("n_chars"),
+            "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), n.cast("long").alias("n_chars"),
             F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), "head").alias("edited"),
-        )
+        ),
+        "edited",
     )
-    marked = with_fingerprint(with_fingerprint(edited, "text", bits, "fingerprint"), "edited", bits, "edited_fingerprint")
+    banded = edited.join(banded_terms(edited, band, low, high), "key", "left")
+    marked = with_fingerprint(with_fingerprint(banded, "text", "of_text", "fingerprint"), "edited", "of_edited", "edited_fingerprint")
     found = written(
         marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"),
         "fingerprints",

@@ -225,6 +225,23 @@ def test_edits_and_likeness(odd, docs, none):
     assert imatch.fingerprint_edits(none).count() == 0
 
 
+def test_band_counts_each_term_by_itself(spark):
+    """Terms that agree in their last 20 bits keep their own frequencies."""
+    by_slot, k = {}, 0
+    words = spark.range(40000).select(F.concat(F.lit("t"), "id").alias("w")).select("w", F.xxhash64("w").alias("h")).collect()
+    for r in words:
+        by_slot.setdefault(r["h"] & ((1 << 20) - 1), []).append(r)
+    rare, common = next(v for v in by_slot.values() if len(v) > 1)[:2]
+    data = [(d, f"{common['w']} own{d}x" + (f" {rare['w']}" if d < 3 else "")) for d in range(400)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").withColumns({"key": F.col("doc_id"), "edited": F.col("text")})
+    found = imatch.banded_terms(frame, imatch.frequencies(frame), 0.25, 0.95).collect()
+    assert {r["key"]: r["of_text"] for r in found} == {d: [rare["h"]] for d in range(3)}
+    assert all(r["of_text"] == r["of_edited"] for r in found)
+    ids = spark.createDataFrame([(k << 20, "abc") for k in range(500)] + [(None, "x")], "doc_id long, text string").repartition(5)
+    got = {r["asker"][0]: r["next"][0] for r in imatch.next_ids(ids).collect()}
+    assert got == {None: 499 << 20, 0: None, **{k << 20: (k - 1) << 20 for k in range(1, 500)}}
+
+
 def test_languages_of_held_out_documents(spark, docs, odd, none):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = language.learn(docs.filter(~held), 100)
