@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import (
-    audit, counts, covertree, imatch, infill, language, lines, packing, secrets, sharding, simhash, subwords,
+    audit, counts, covertree, extraction, imatch, infill, language, lines, packing, secrets, sharding, simhash, subwords,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_fill_in_middle"] = infill.ORACLE_SQL
+
+
+@query
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract_text(table(spark, sf_dir, "pages"))
+    return found.select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept"
+    )
