@@ -1,163 +1,152 @@
 """Clusters of count vectors by cosine distance; a vector far from every cluster is an anomaly.
 
-A bounded bootstrap sample is clustered by complete linkage.  Instead of visiting the other rows one
-by one, every partition of the distinct remaining vectors does so against the fixed bootstrap
-clusters and its own new ones, and the new ones of all partitions are then treated as weighted
-vectors in further rounds.  The score is exact for the clusters found.
+The result has no order: distinct vectors are ranked by how often they occur, and a vector leads a
+cluster if no leader of a higher rank is within the distance.  The vectors then go to their nearest
+leader, and the weighted mean of a cluster is its centre.  Neither partitions nor the order of rows
+nor the sizes of blocks change the clusters.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.detectors.sparse import Block, rows_of, stacked
 from logloom.session import written
 
-MAX_BYTES = 256 * 1024 * 1024
-
-
-@dataclass
-class ClusterModel:
-    centres: np.ndarray
-    sizes: np.ndarray
-
-
-def cosine_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """1 − cosine with a guarded norm; below 1e-8 it is 0."""
-    norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(centres, axis=1)[None, :]
-    distance = 1 - (x @ centres.T) / (norms + 1e-8)
-    distance[distance < 1e-8] = 0
-    return distance
-
-
-def complete_linkage(x: np.ndarray, max_dist: float) -> np.ndarray:
-    """Cluster number per row: the two closest clusters merge while their farthest rows are within
-    ``max_dist``.  For the bounded bootstrap sample."""
-    n = len(x)
-    distance = cosine_distances(x, x)
-    np.fill_diagonal(distance, np.inf)
-    member = np.arange(n)
-    while n > 1:
-        i, j = np.unravel_index(np.argmin(distance), distance.shape)
-        if distance[i, j] > max_dist:
-            break
-        farthest = np.maximum(distance[i], distance[j])
-        distance[i], distance[:, i] = farthest, farthest
-        distance[i, i] = np.inf
-        distance[j], distance[:, j] = np.inf, np.inf
-        member[member == j] = i
-    return np.unique(member, return_inverse=True)[1]
-
-
-def _absorb(fixed: np.ndarray, max_dist: float):
-    """Sums of the vectors near each fixed centre, and new clusters for the others."""
-
-    def run(batches):
-        width = fixed.shape[1]
-        sums, weights = np.zeros(fixed.shape), np.zeros(len(fixed))
-        centres, sizes = np.empty((0, width)), []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, w = np.stack(pdf["values"].to_numpy()), pdf["weight"].to_numpy(dtype=float)
-            near = np.full(len(x), False)
-            if len(fixed):
-                distance = cosine_distances(x, fixed)
-                home = distance.argmin(axis=1)
-                near = distance[np.arange(len(x)), home] <= max_dist
-                np.add.at(sums, home[near], x[near] * w[near, None])
-                np.add.at(weights, home[near], w[near])
-            for vector, weight in zip(x[~near], w[~near]):
-                if len(centres):
-                    apart = cosine_distances(vector[None], centres)[0]
-                    at = int(apart.argmin())
-                    if apart[at] <= max_dist:
-                        sizes[at] += weight
-                        centres[at] += (vector - centres[at]) * weight / sizes[at]
-                        continue
-                centres = np.vstack([centres, vector])
-                sizes.append(weight)
-        yield pd.DataFrame(
-            {
-                "cluster": [*np.flatnonzero(weights), *([-1] * len(sizes))],
-                "values": [*(sums[weights > 0] / weights[weights > 0, None]), *centres],
-                "weight": [*weights[weights > 0], *sizes],
-            }
-        )
+#: Vectors that the driver and a task hold densely at once; more are handled block after block.
+BLOCK = 256
+#: Distances are compared at this precision, so equal ones are equal on any engine.
+DIGITS = 9
+
+
+def cosine_distances(products: np.ndarray, norms: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """1 - cosine with a guarded norm, rounded; below 1e-8 it is 0."""
+    distance = 1 - products / (norms[:, None] * block[None, :] + 1e-8)
+    return np.round(np.where(distance < 1e-8, 0.0, distance), DIGITS)
+
+
+def shapes(vectors: DataFrame) -> DataFrame:
+    """(cols, xs, weight): the distinct vectors and how often each occurs."""
+    return vectors.groupBy("cols", "xs").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def nearest_batches(block: Block, first: int):
+    """Keep the nearer of the cluster known so far and the nearest of the block, the lower number on ties."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = rows_of(batch)
+            distance = batch.column("distance").to_numpy(zero_copy_only=False).copy()
+            cluster = batch.column("cluster").to_numpy(zero_copy_only=False).copy()
+            if len(distance):
+                found = cosine_distances(block.products(rows), np.sqrt(rows.squares()), block.norms)
+                best = found.argmin(axis=1)
+                least = found[np.arange(len(best)), best]
+                nearer = (cluster < 0) | (least < distance)
+                distance, cluster = np.where(nearer, least, distance), np.where(nearer, first + best, cluster)
+            names = batch.schema.names
+            held = dict(zip(names, batch.columns)) | {"distance": pa.array(distance), "cluster": pa.array(cluster)}
+            yield pa.RecordBatch.from_arrays([held[n] for n in names], names)
 
     return run
 
 
-_SCHEMA = "cluster long, values array<double>, weight double"
-
-
-def _checked(rows: int, width: int) -> None:
-    if rows * width * 8 > MAX_BYTES:
-        raise ValueError(f"{rows} clusters of {width} columns are too many to hand to every task")
-
-
-def fit_clusters(
-    vectors: DataFrame,
-    order: str,
-    max_dist: float = 0.3,
-    bootstrap: int = 1000,
-    mode: str = "online",
-    chunk: int = 20_000,
-) -> ClusterModel:
-    """Clusters of ``values`` rows; ``mode`` offline clusters the bootstrap rows only, so pass the
-    table size there to use every row."""
-    first = vectors.orderBy(order).limit(bootstrap).select(order, "values")
-    sample = first.collect()
-    if not sample:
-        raise ValueError("no vectors to cluster")
-    x = np.array([r["values"] for r in sample])
-    member = complete_linkage(x, max_dist)
-    sizes = np.bincount(member).astype(float)
-    centres = np.stack([x[member == c].mean(axis=0) for c in range(len(sizes))])
-    if mode == "offline":
-        return ClusterModel(centres, sizes)
-
-    last = sample[-1][order]
-    rest = vectors.filter(F.col(order) > F.lit(last))
-    distinct = rest.groupBy("values").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    _checked(*centres.shape)
-    step = written(distinct.mapInPandas(_absorb(centres, max_dist), _SCHEMA), "clusters")
-    grown = step.filter("cluster >= 0").select("cluster", "weight", F.posexplode("values").alias("col", "v"))
-    moved = grown.groupBy("cluster", "col").agg(F.sum(F.col("v") * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
-    for row in moved.toLocalIterator():
-        c, j = row["cluster"], row["col"]
-        centres[c, j] = (centres[c, j] * sizes[c] + row["s"]) / (sizes[c] + row["w"])
-    for row in moved.filter("col = 0").toLocalIterator():
-        sizes[row["cluster"]] += row["w"]
-
-    # New clusters of the partitions meet each other until a round joins nothing more.
-    fresh = step.filter("cluster < 0").select("values", "weight")
-    count, before = fresh.count(), None
-    none = np.empty((0, centres.shape[1]))
-    while count > 1 and count != before:
-        tasks = max(1, -(-count // chunk))
-        joined = fresh.repartition(tasks, F.xxhash64("values")) if tasks > 1 else fresh.coalesce(1)
-        fresh = written(joined.mapInPandas(_absorb(none, max_dist), _SCHEMA).select("values", "weight"), "clusters")
-        before, count = count, fresh.count()
-    _checked(len(centres) + count, centres.shape[1])
-    new = sorted(fresh.collect(), key=lambda r: (-r["weight"], r["values"]))
-    if new:
-        centres = np.vstack([centres, [r["values"] for r in new]])
-        sizes = np.r_[sizes, [r["weight"] for r in new]]
-    return ClusterModel(centres, sizes)
-
-
-def score_clusters(vectors: DataFrame, model: ClusterModel, threshold: float = 0.3) -> DataFrame:
-    """``distance`` to the nearest cluster and ``anomaly``."""
-    centres = model.centres
-
-    @F.pandas_udf("double")
-    def nearest(values: pd.Series) -> pd.Series:
-        return pd.Series(cosine_distances(np.stack(values.to_numpy()), centres).min(axis=1))
-
-    scored = vectors.withColumn("distance", nearest("values"))
+def with_nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """Add ``cluster`` and ``distance`` of the nearest centre; -1 and infinity if there are none.
+
+    ``centres`` has cluster (from 0, gapless), cols and xs.  The driver holds one block of them at a
+    time, and so do the tasks; every block is one narrow pass over the vectors.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema) + ", cluster long, distance double"
+    found = vectors.withColumns({"cluster": F.lit(-1).cast("long"), "distance": F.lit(float("inf"))})
+    count, start = centres.count(), 0
+    while start < count:
+        block = centres.filter(F.col("cluster").between(start, start + BLOCK - 1)).orderBy("cluster").collect()
+        found = found.mapInArrow(nearest_batches(Block(stacked(block)), start), fields)
+        start += BLOCK
+        if start < count:
+            found = written(found, "nearest")
+    return found
+
+
+def far_batches(block: Block, max_dist: float):
+    """Pass the vectors that no vector of the block is near to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = rows_of(batch)
+            if batch.num_rows:
+                found = cosine_distances(block.products(rows), np.sqrt(rows.squares()), block.norms)
+                yield batch.filter(pa.array((found > max_dist).all(axis=1)))
+
+    return run
+
+
+def find_leaders(distinct: DataFrame, max_dist: float) -> DataFrame:
+    """(cluster, cols, xs) of the vectors with no leader of a higher rank within ``max_dist``.
+
+    Rank is by weight, then by the vector.  Every round takes the highest vectors that are left, lets
+    them lead or follow in turn, and drops what the new leaders reach; so a round settles all vectors
+    of a block at least, and the leaders are those of one long walk in the order of ranks.
+    """
+    spark, schema = distinct.sparkSession, "cols array<int>, xs array<double>, weight long"
+    left, count = distinct.select("cols", "xs", "weight"), 0
+    leaders = spark.createDataFrame([], "cluster long, cols array<int>, xs array<double>")
+    while head := left.orderBy(F.desc("weight"), "cols", "xs").limit(BLOCK).collect():
+        rows = stacked(head)
+        block = Block(rows)
+        near = cosine_distances(block.products(rows), block.norms, block.norms) <= max_dist
+        np.fill_diagonal(near, True)  # also a vector without events
+        free, chosen = np.ones(len(head), bool), []
+        for k in range(len(head)):
+            if free[k]:
+                chosen.append(k)
+                free &= ~near[k]
+        new = [(count + i, list(head[k]["cols"]), list(head[k]["xs"])) for i, k in enumerate(chosen)]
+        count += len(new)
+        leaders = written(leaders.union(spark.createDataFrame(new, leaders.schema)), "leaders")
+        lowest = head[-1]
+        below = (F.col("weight") < lowest["weight"]) | (
+            (F.col("weight") == lowest["weight"]) & (F.struct("cols", "xs") > F.struct(arrayed(lowest["cols"], "int"), arrayed(lowest["xs"], "double")))
+        )
+        led = Block(stacked([head[k] for k in chosen]))
+        left = written(left.filter(below).mapInArrow(far_batches(led, max_dist), schema), "left")
+    return leaders
+
+
+def arrayed(values, kind: str):
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+def fit_clusters(vectors: DataFrame, max_dist: float = 0.3) -> DataFrame:
+    """(cluster, size, cols, xs): clusters of the sparse ``vectors`` (cols, xs) and their centres.
+
+    A cluster's centre is the mean of its vectors, repeated ones counted as often as they occur.
+    Clusters are numbered by the rank of their leaders; no vectors give no clusters.
+    """
+    distinct = written(shapes(vectors), "shapes")
+    placed = written(with_nearest(distinct, find_leaders(distinct, max_dist)).drop("distance"), "placed")
+    sizes = placed.groupBy("cluster").agg(F.sum("weight").alias("size"))
+    cells = (
+        placed.select("cluster", "weight", F.explode(F.arrays_zip("cols", "xs")).alias("c"))
+        .groupBy("cluster", F.col("c.cols").alias("col")).agg(F.sum(F.col("c.xs") * F.col("weight")).alias("total"))
+    )
+    means = (
+        cells.join(sizes, "cluster")
+        .groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("col", (F.col("total") / F.col("size")).alias("x")))).alias("cells"))
+        .select("cluster", F.col("cells.col").alias("cols"), F.col("cells.x").alias("xs"))
+    )
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    centres = sizes.join(means, "cluster", "left").select("cluster", "size", empty("cols", "int"), empty("xs", "double"))
+    return written(centres, "centres")
+
+
+def score_clusters(vectors: DataFrame, centres: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``distance`` to the nearest centre, its ``cluster``, and ``anomaly``: farther than the threshold."""
+    scored = with_nearest(vectors, centres)
     return scored.withColumn("anomaly", (F.col("distance") > threshold).cast("int"))

@@ -68,6 +68,19 @@ def event_columns(events: DataFrame) -> DataFrame:
     )
 
 
+def sparse_vectors(features: DataFrame, columns: DataFrame, sequences: DataFrame) -> DataFrame:
+    """``cols`` and ``xs`` of each sequence: the columns that are not zero, rising, and their values."""
+    cells = features.filter("x <> 0").join(columns, "event").groupBy("seq_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("col"), "x"))).alias("_cells")
+    )
+    part = lambda c, kind: F.coalesce(F.col(f"_cells.{c}"), F.array().cast(f"array<{kind}>"))
+    return (
+        sequences.join(cells, "seq_id", "left")
+        .withColumns({"cols": part("col", "int"), "xs": part("x", "double")})
+        .drop("_cells")
+    )
+
+
 def feature_vectors(
     features: DataFrame, columns: DataFrame, sequences: DataFrame, width: int
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from logloom.operators.detectors import cluster, forest, matrix, supervised
 from logloom.operators.profile import template_catalogue
 from logloom.plans import views
 from logloom.plans.registry import query, with_views
-from logloom.plans.vocab_queries import sequence_counts
+from logloom.plans.vocab_queries import COUNTS, sequence_counts
 from logloom.session import written
 
 
@@ -168,6 +168,15 @@ def count_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sparse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event counts of all windows over the training events as sparse vectors, with split and label."""
+    counts, split = sequence_counts(spark, sf_dir)
+    events = features.training_events(counts.filter("split = 'train'"))
+    columns = written(features.event_columns(events), "columns")
+    vectors = features.sparse_vectors(features.count_features(counts, events), columns, split)
+    return written(vectors.select("seq_id", "label", "split", "cols", "xs"), "vectors")
+
+
 @query("m1_pca_detector")
 def m1_pca_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = count_vectors(spark, sf_dir)
@@ -184,11 +193,59 @@ def m2_invariant_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("seq_id", "label", "broken", "anomaly")
 
 
-@query("m3_cluster_detector")
+CLUSTERS = with_views(
+    COUNTS,
+    """,
+    numbered AS (SELECT event, row_number() OVER (ORDER BY event) - 1 AS col FROM doc_v),
+    sparse AS (
+      SELECT s.seq_id, s.label, s.split, COALESCE(list(col ORDER BY col) FILTER (col IS NOT NULL), []) AS cols,
+        COALESCE(list(CAST(c.n AS DOUBLE) ORDER BY col) FILTER (col IS NOT NULL), []) AS xs
+      FROM split_v s LEFT JOIN (SELECT seq_id, col, n FROM counts_v JOIN numbered USING (event)) c USING (seq_id)
+      GROUP BY s.seq_id, s.label, s.split),
+    shape AS (
+      SELECT row_number() OVER (ORDER BY weight DESC, cols, xs) AS id, *
+      FROM (SELECT cols, xs, count(*) AS weight FROM sparse WHERE split = 'train' GROUP BY cols, xs)),
+    cell AS (SELECT id, unnest(cols) AS col, unnest(xs) AS x FROM shape),
+    long AS (SELECT id, sqrt(sum(x * x)) AS norm FROM cell GROUP BY id),
+    apart AS (
+      SELECT a.id, b.id AS other, 1 - sum(a.x * b.x) / (any_value(m.norm) * any_value(n.norm) + 1e-8) AS d
+      FROM cell a JOIN cell b USING (col) JOIN long m ON m.id = a.id JOIN long n ON n.id = b.id GROUP BY a.id, b.id),
+    rounded AS (SELECT id, other, round(CASE WHEN d < 1e-8 THEN 0 ELSE d END, 9) AS d FROM apart),
+    reach AS (SELECT id, list(other) AS near FROM rounded WHERE d <= 0.3 GROUP BY id),
+    everyone AS (SELECT s.id, COALESCE(near, [s.id]) AS near FROM shape s LEFT JOIN reach USING (id)),
+    walk AS (
+      WITH RECURSIVE w(leader, gone) AS (
+        SELECT id, near FROM everyone WHERE id = 1
+        UNION ALL
+        SELECT n.id, list_concat(n.gone, e.near)
+        FROM (SELECT (SELECT min(s.id) FROM shape s WHERE s.id > w.leader AND NOT list_contains(w.gone, s.id)) AS id, w.gone FROM w) n
+        JOIN everyone e ON e.id = n.id)
+      SELECT leader, row_number() OVER (ORDER BY leader) - 1 AS cluster FROM w),
+    home AS (
+      SELECT s.id, s.weight, COALESCE((
+        SELECT arg_min(cluster, (r.d, cluster)) FROM rounded r JOIN walk ON leader = r.other WHERE r.id = s.id),
+        (SELECT cluster FROM walk WHERE leader = s.id)) AS cluster FROM shape s),
+    size AS (SELECT cluster, sum(weight) AS size FROM home GROUP BY cluster),
+    centre AS (
+      SELECT cluster, col, sum(x * weight) / any_value(size) AS x FROM cell JOIN home USING (id) JOIN size USING (cluster) GROUP BY cluster, col),
+    width AS (SELECT cluster, sqrt(sum(x * x)) AS norm FROM centre GROUP BY cluster),
+    test AS (SELECT seq_id, label, unnest(cols) AS col, unnest(xs) AS x FROM sparse WHERE split <> 'train'),
+    lengths AS (SELECT seq_id, sqrt(sum(x * x)) AS norm FROM test GROUP BY seq_id),
+    met AS (
+      SELECT t.seq_id, 1 - sum(t.x * c.x) / (any_value(l.norm) * any_value(w.norm) + 1e-8) AS d
+      FROM test t JOIN centre c USING (col) JOIN lengths l ON l.seq_id = t.seq_id JOIN width w ON w.cluster = c.cluster
+      GROUP BY t.seq_id, c.cluster),
+    best AS (SELECT seq_id, round(min(CASE WHEN d < 1e-8 THEN 0 ELSE d END), 9) AS d FROM met GROUP BY seq_id)
+    SELECT seq_id, label, round(COALESCE(d, 1), 6) AS distance, CASE WHEN COALESCE(d, 1) > 0.3 THEN 1 ELSE 0 END AS anomaly
+    FROM sparse LEFT JOIN best USING (seq_id) WHERE split <> 'train'""",
+)
+
+
+@query("m3_cluster_detector", CLUSTERS)
 def m3_cluster_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = count_vectors(spark, sf_dir)
-    model = cluster.fit_clusters(vectors.filter("split = 'train'"), "seq_id")
-    scored = cluster.score_clusters(vectors.filter("split <> 'train'"), model)
+    vectors = sparse_counts(spark, sf_dir)
+    centres = cluster.fit_clusters(vectors.filter("split = 'train'"))
+    scored = cluster.score_clusters(vectors.filter("split <> 'train'"), centres)
     return scored.select("seq_id", "label", F.round("distance", 6).alias("distance"), "anomaly")
 
 

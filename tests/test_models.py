@@ -210,18 +210,59 @@ def test_invariants_of_three_columns(rows, partitions):
     assert matrix.longer_sets([(0, 1), (0, 2), (1, 2), (1, 3)]) == [(0, 1, 2)]
 
 
-def test_clusters(rows):
+def sparse(rows, x):
+    data = [(f"s{i:05d}", [c for c, v in enumerate(r) if v], [float(v) for v in r if v]) for i, r in enumerate(x)]
+    return rows(data, "seq_id string, cols array<int>, xs array<double>")
+
+
+def plain_clusters(x, max_dist):
+    """Leaders by falling weight, then by columns and values; each vector to its nearest leader."""
+    def apart(a, b):
+        d = 1 - np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-8)
+        return 0.0 if d < 1e-8 else round(d, 9)
+
+    weight = {}
+    for r in map(tuple, x.tolist()):
+        weight[r] = weight.get(r, 0) + 1
+    rank = lambda r: (-weight[r], [c for c, v in enumerate(r) if v], [v for v in r if v])
+    leaders = []
+    for r in sorted(weight, key=rank):
+        if all(apart(r, l) > max_dist for l in leaders):
+            leaders.append(r)
+    total, size = np.zeros((len(leaders), x.shape[1])), np.zeros(len(leaders), int)
+    for r, n in weight.items():
+        k = min(range(len(leaders)), key=lambda k: (apart(r, leaders[k]) if any(r) else float(r != leaders[k]), k))
+        total[k] += n * np.array(r)
+        size[k] += n
+    return total / size[:, None], size
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_clusters_have_no_order(rows, monkeypatch, block):
+    monkeypatch.setattr(cluster, "BLOCK", block)
     rng = np.random.default_rng(0)
-    kinds = np.array([[9, 1, 0, 0], [0, 0, 9, 2.0]])
-    x = kinds[rng.integers(0, 2, 300)] + rng.random((300, 4)) * 0.2
-    model = cluster.fit_clusters(vectors(rows, x), "seq_id", bootstrap=50)
-    assert len(model.centres) == 2 and model.sizes.sum() == 300
-    late = np.vstack([x[:50], rng.random((250, 4)) * 0.1 + np.array([0, 9, 0, 0.0])])
-    more = cluster.fit_clusters(vectors(rows, late), "seq_id", bootstrap=50)
-    assert len(more.centres) == 3 and more.sizes.sum() == 300
-    odd = vectors(rows, [[9, 1, 0, 0], [0, 9, 0, 9]])
-    assert [r["anomaly"] for r in cluster.score_clusters(odd, model).orderBy("seq_id").collect()] == [0, 1]
-    assert len(cluster.fit_clusters(vectors(rows, x), "seq_id", bootstrap=300, mode="offline").centres) == 2
+    x = rng.poisson(0.6, (220, 9)) * rng.integers(1, 4, (220, 9))
+    x[:20] = x[20:40]
+    x[100:103] = 0
+    centres, size = plain_clusters(x, 0.3)
+    assert len(size) > 20
+    for partitions, order in ((1, x), (4, x), (16, rng.permutation(x))):
+        got = cluster.fit_clusters(sparse(rows, order).repartition(partitions)).orderBy("cluster").collect()
+        assert [r["size"] for r in got] == size.tolist() and [r["cluster"] for r in got] == list(range(len(size)))
+        dense = np.zeros_like(centres)
+        for r in got:
+            dense[r["cluster"], r["cols"]] = r["xs"]
+        assert np.allclose(dense, centres)
+
+
+def test_cluster_scores(rows):
+    x = np.array([[9, 1, 0, 0]] * 3 + [[0, 0, 9, 2]])
+    found = cluster.fit_clusters(sparse(rows, x))
+    odd = sparse(rows, [[9, 1, 0, 0], [0, 9, 0, 9], [0, 0, 0, 0], [0, 0, 5, 1]])
+    scored = cluster.score_clusters(odd, found).orderBy("seq_id").collect()
+    assert [(r["cluster"], r["anomaly"]) for r in scored] == [(0, 0), (1, 1), (0, 1), (1, 0)]
+    none = cluster.fit_clusters(sparse(rows, x).limit(0))
+    assert none.count() == 0 and {r["anomaly"] for r in cluster.score_clusters(odd, none).collect()} == {1}
 
 
 def test_forest(rows):
