@@ -17,7 +17,7 @@ from logloom.session import new_path, written
 from logloom.sources import logs, sequences, xml
 
 _XML_FIELDS = """, x AS (
-  SELECT event_id, user_id, event_type, CAST(floor(value) AS BIGINT) AS n,
+  SELECT event_id, user_id, event_type, ts_us, CAST(floor(value) AS BIGINT) AS n,
          strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S.%f') AS made,
          4600 + CAST(floor(value / 25) AS BIGINT) AS eid FROM log_v)"""
 _XML_CONTENT = """'User=' || user_id || '|Kind=' || event_type
@@ -41,7 +41,11 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
           made AS created, CAST(event_id AS VARCHAR) AS record, 'Security' AS channel, 'node' || (user_id % 16) AS computer,
           CASE WHEN user_id % 2 = 0 THEN 'S-' || user_id END AS sid, CAST(user_id AS VARCHAR) AS usr, event_type AS kind,
           CASE WHEN event_type = 'error' THEN '0x' || to_hex(n) END AS status, {_XML_CONTENT} AS content,
-          CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + 10 AS n_fields
+          CASE WHEN event_id % 3 = 0 THEN CAST(ts_us AS VARCHAR) END AS raw_time,
+          CASE WHEN event_id % 3 = 0 THEN CAST(user_id % 5 AS VARCHAR) END AS session,
+          CASE WHEN event_id % 3 = 0 THEN 'R&D <' || event_id || '>' END AS extra,
+          CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END
+            + CASE WHEN event_id % 3 = 0 THEN 4 ELSE 0 END + 10 AS n_fields
         FROM x""",
     ),
 )
@@ -61,6 +65,9 @@ def s1_xml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         f["Kind"].alias("kind"),
         f["Status"].alias("status"),
         f["Content"].alias("content"),
+        f["TimeCreated_RawTime"].alias("raw_time"),
+        f["Execution_SessionID"].alias("session"),
+        f["Extra"].alias("extra"),
         F.size("fields").alias("n_fields"),
     )
 
@@ -74,8 +81,7 @@ def s1_xml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def s1_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "xml")
-    events = _events(spark, sf_dir).select("event.*")
-    events.write.format("xml").option("rootTag", "Events").option("rowTag", "Event").save(path)
+    views.xml_view(spark, sf_dir).select("xml").write.text(path)
     f = F.col("fields")
     return xml.event_fields(xml.read_event_files(spark, path)).select(
         f["EventRecordID"].alias("record"), f["EventID"].alias("eid"), f["Content"].alias("content")
@@ -88,7 +94,7 @@ def s1_xml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.LOG,
         _XML_FIELDS + f"""
         SELECT event_id, 'Channel=Security;' || replace({_XML_CONTENT}, '|', ';') AS content,
-               CASE WHEN user_id % 2 = 0 THEN 8 ELSE 7 END AS n_fields FROM x""",
+               CASE WHEN user_id % 2 = 0 THEN 8 ELSE 7 END + CASE WHEN event_id % 3 = 0 THEN 4 ELSE 0 END AS n_fields FROM x""",
     ),
 )
 def s1b_channel_in_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +118,8 @@ def s2_common_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         views.LOG,
         _FIELD_NAMES + """
         UNION SELECT 'Security_UserID' FROM log_v WHERE user_id % 2 = 0
-        UNION SELECT 'Status' FROM log_v WHERE event_type = 'error'""",
+        UNION SELECT 'Status' FROM log_v WHERE event_type = 'error'
+        UNION SELECT unnest(['TimeCreated_RawTime', 'Execution_ProcessID', 'Execution_SessionID', 'Extra']) FROM log_v WHERE event_id % 3 = 0""",
     ),
 )
 def s2_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

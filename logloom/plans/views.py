@@ -123,7 +123,8 @@ def text_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xml_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as Windows event XML: fields of some events are missing, empty or in attributes."""
+    """``events`` as Windows event XML: fields of some events are missing, empty or in attributes, and
+    some have elements and attributes that few others have."""
     log = log_view(spark, sf_dir)
     text = lambda c: c.cast("string")
     when = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -131,11 +132,17 @@ def xml_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<Security/>")
     )
     bonus = F.when(F.col("event_type") == "error", F.concat(F.lit('<Data Name="Status">0x'), F.hex(F.floor("value")), F.lit("</Data>"))).otherwise(F.lit(""))
+    third = F.col("event_id") % 3 == 0
+    raw_time = F.when(third, F.concat(F.lit('" RawTime="'), text(F.col("ts_us")))).otherwise(F.lit(""))
+    rare = F.when(
+        third,
+        F.concat(F.lit('<Execution ProcessID="4" SessionID="'), text(F.col("user_id") % 5), F.lit('"/><Extra>R&amp;D &lt;'), text(F.col("event_id")), F.lit("&gt;</Extra>")),
+    ).otherwise(F.lit(""))
     xml = F.concat(
         F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="App" Guid="{'),
         F.col("event_type"), F.lit('}"/><EventID Qualifiers="">'), text(4600 + F.floor(F.col("value") / 25)),
-        F.lit('</EventID><TimeCreated SystemTime="'), when,
-        F.lit('"/><EventRecordID>'), text(F.col("event_id")),
+        F.lit('</EventID><TimeCreated SystemTime="'), when, raw_time, F.lit('"/>'), rare,
+        F.lit("<EventRecordID>"), text(F.col("event_id")),
         F.lit("</EventRecordID><Channel>Security</Channel><Computer>node"), text(F.col("user_id") % 16),
         F.lit("</Computer>"), security,
         F.lit('</System><EventData><Data Name="User">'), text(F.col("user_id")),

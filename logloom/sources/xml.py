@@ -2,81 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree.ElementTree import Element, ParseError, fromstring
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.text import clean_text
 from logloom.session import written
 
-# The System elements of a Windows event and their attributes.
-SYSTEM_ELEMENTS = {
-    "Provider": ("Name", "Guid", "EventSourceName"),
-    "EventID": ("Qualifiers",),
-    "Version": (),
-    "Level": (),
-    "Task": (),
-    "Opcode": (),
-    "Keywords": (),
-    "TimeCreated": ("SystemTime",),
-    "EventRecordID": (),
-    "Correlation": ("ActivityID", "RelatedActivityID"),
-    "Execution": ("ProcessID", "ThreadID"),
-    "Channel": (),
-    "Computer": (),
-    "Security": ("UserID",),
-}
-
-
-def event_ddl() -> str:
-    """Schema of an event; every System element keeps its text and attributes as strings."""
-    elements = []
-    for tag, attributes in SYSTEM_ELEMENTS.items():
-        fields = ["_VALUE STRING", *[f"_{a} STRING" for a in attributes], "_xmlns STRING"]
-        elements.append(f"{tag}: STRUCT<{', '.join(f.replace(' ', ': ') for f in fields)}>")
-    system = f"System STRUCT<{', '.join(elements)}>"
-    return f"{system}, EventData STRUCT<Data: ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>>"
-
-
-def read_event_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of parsed events from XML files; files are split by the ``Event`` row tag."""
-    parsed = spark.read.format("xml").option("rowTag", "Event").schema(event_ddl()).load(path)
-    return parsed.select(F.struct("System", "EventData").alias("event"))
+NO_ENTRIES = "array<struct<key:string,value:string>>"
+EVENT = f"system {NO_ENTRIES}, data {NO_ENTRIES}"
 
 
-def parse_event(xml: Column | str) -> Column:
-    return F.from_xml(F.col(xml) if isinstance(xml, str) else xml, event_ddl())
+def read_event_files(spark: SparkSession, path: str, tag: str = "Event") -> DataFrame:
+    """One row ``event`` per event of XML files, parsed; files are split at the end tags of ``tag``."""
+    records = spark.read.text(path, lineSep=f"</{tag}>").select(
+        F.concat(F.regexp_extract("value", rf"(?s)<{tag}(?=[\s>]).*", 0), F.lit(f"</{tag}>")).alias("xml")
+    )
+    return records.filter(F.col("xml").startswith(f"<{tag}")).select(parse_event("xml").alias("event"))
 
 
-def _entry(name: Column | str, value: Column) -> Column:
-    name = F.lit(name) if isinstance(name, str) else name
-    return F.struct(name.alias("key"), value.alias("value"))
+def local_name(name: str) -> str:
+    return name.rpartition("}")[2]
 
 
-def _system_entries(event: Column, skip: tuple[str, ...] = ()) -> Column:
-    """Element text when there is any (attributes then go), else one entry per attribute."""
-    entries = []
-    for tag, attributes in SYSTEM_ELEMENTS.items():
-        if tag in skip:
-            continue
-        element = event["System"][tag]
-        text = element["_VALUE"]
-        filled = F.coalesce(text, F.lit("")) != ""
-        entries.append(_entry(tag, F.when(filled, clean_text(text))))
-        for attribute in attributes:
-            value = F.when(~filled, clean_text(element[f"_{attribute}"]))
-            entries.append(_entry(f"{tag}_{attribute}", value))
-    return F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
+def cleaned(text: str) -> str:
+    return text.replace("\n", "").replace("\r", "").strip()
 
 
-def _data_entries(event: Column) -> Column:
-    cleaned = F.transform(
-        event["EventData"]["Data"], lambda d: _entry(d["_Name"], clean_text(d["_VALUE"]))
-    )
-    kept = F.filter(
-        cleaned,
-        lambda e: (F.coalesce(e["key"], F.lit("")) != "") & (F.coalesce(e["value"], F.lit("")) != ""),
-    )
-    return F.coalesce(kept, F.array().cast("array<struct<key:string,value:string>>"))
+def system_entries(element: Element) -> Iterator[tuple[str, str]]:
+    """Text of every child when there is any (attributes then go), else its attributes, each by name."""
+    for child in element:
+        tag = local_name(child.tag)
+        if child.text:
+            yield tag, cleaned(child.text)
+        else:
+            for name, value in child.attrib.items():
+                yield f"{tag}_{local_name(name)}", cleaned(value)
+
+
+def data_entries(element: Element) -> Iterator[tuple[str, str]]:
+    """The named Data children with a value."""
+    for child in element:
+        name, value = child.attrib.get("Name"), cleaned(child.text or "")
+        if local_name(child.tag) == "Data" and name and value:
+            yield name, value
+
+
+def entry_lists(rows: list[list[tuple[str, str]]]) -> pa.ListArray:
+    flat = [e for row in rows for e in row]
+    parts = [pa.array([e[k] for e in flat], pa.string()) for k in (0, 1)]
+    offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["key", "value"]))
+
+
+def entries_of(xml: pa.Array) -> pa.Array:
+    found: dict[str, list] = {"System": [], "EventData": []}
+    for text in xml.to_pylist():
+        try:
+            root = fromstring(text or "")
+        except ParseError:
+            root = ()
+        parts = {local_name(child.tag): child for child in reversed(root)}  # the first of each name
+        for name, told in (("System", system_entries), ("EventData", data_entries)):
+            found[name].append(list(told(parts[name])) if name in parts else [])
+    return pa.StructArray.from_arrays([entry_lists(rows) for rows in found.values()], ["system", "data"])
+
+
+def parse_event(xml: Column | str) -> Column:
+    """``system`` and ``data``: (key, value) entries of all children of System and of the named Data, in order.
+
+    ``from_xml`` needs the names beforehand, or guesses types and loses leading zeros as a variant, so
+    the markup is parsed in Arrow batches.  Null and text that is no XML have no entries.
+    """
+    return F.arrow_udf(entries_of, EVENT)(F.col(xml) if isinstance(xml, str) else xml)
+
+
+def _entry(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("key"), value.alias("value"))
 
 
 def _joined(entries: Column, separator: str) -> Column:
@@ -86,24 +91,18 @@ def _joined(entries: Column, separator: str) -> Column:
 def event_fields(events: DataFrame, event: str = "event") -> DataFrame:
     """Replace the parsed event by ``fields``: a map of System fields, EventData fields and
     ``Content`` (``name=value`` joined by ``|``)."""
-    parsed = F.col(event)
-    data = events.withColumn("_data", _data_entries(parsed)).withColumn("_system", _system_entries(parsed))
-    content = F.array(_entry("Content", _joined(F.col("_data"), "|")))
-    return _to_map(data.withColumn("_entries", F.concat("_system", "_data", content))).drop(event)
+    data = F.col(event)["data"]
+    content = F.array(_entry("Content", _joined(data, "|")))
+    return _to_map(events.withColumn("_entries", F.concat(F.col(event)["system"], data, content))).drop(event)
 
 
 def event_fields_channel_in_content(events: DataFrame, event: str = "event") -> DataFrame:
     """Older form: Channel leads the ``;``-joined ``Content`` and EventData makes no fields."""
-    parsed = F.col(event)
-    channel = parsed["System"]["Channel"]["_VALUE"]
-    head = F.when(
-        F.coalesce(channel, F.lit("")) != "", F.array(_entry("Channel", clean_text(channel)))
-    ).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
-    data = events.withColumn("_data", F.concat(head, _data_entries(parsed))).withColumn(
-        "_system", _system_entries(parsed, skip=("Channel",))
-    )
-    content = F.array(_entry("Content", _joined(F.col("_data"), ";")))
-    return _to_map(data.withColumn("_entries", F.concat("_system", content))).drop(event)
+    of_channel = lambda e: e["key"] == "Channel"
+    system = F.col(event)["system"]
+    head = F.slice(F.reverse(F.filter(system, of_channel)), 1, 1)  # the last, if any
+    content = F.array(_entry("Content", _joined(F.concat(head, F.col(event)["data"]), ";")))
+    return _to_map(events.withColumn("_entries", F.concat(F.filter(system, lambda e: ~of_channel(e)), content))).drop(event)
 
 
 def _to_map(df: DataFrame) -> DataFrame:
@@ -111,16 +110,10 @@ def _to_map(df: DataFrame) -> DataFrame:
     entries = F.col("_entries")
     keys = F.transform(entries, lambda e: e["key"])
     repeated = F.size(F.array_distinct(keys)) < F.size(entries)
-    empty = F.create_map().cast("map<string,string>")
-    replaced = F.aggregate(
-        entries,
-        empty,
-        lambda m, e: F.map_concat(
-            F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])
-        ),
-    )
-    fields = F.when(repeated, replaced).otherwise(F.map_from_entries(entries))
-    return df.withColumn("fields", fields).drop("_data", "_system", "_entries")
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda l: l["key"] == e["key"])
+    last = F.filter(entries, lambda e, i: ~later(e, i))
+    fields = F.map_from_entries(F.when(repeated, last).otherwise(entries))
+    return df.withColumn("fields", fields).drop("_entries")
 
 
 def field_names(records: DataFrame, fields: str = "fields", common: bool = True) -> DataFrame:

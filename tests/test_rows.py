@@ -51,6 +51,30 @@ def test_event_xml(spark, rows):
     assert old["Content"] == "Channel=Security;A=1;C=z;A=2" and "A" not in old and "Channel" not in old
 
 
+ODD_XML = """<?xml version="1.0"?><e:Event xmlns:e="http://x"><e:System>
+  <!-- <Extra>no</Extra> --><Provider Name='P "q"' Guid="a>b"/><EventID Qualifiers="1">0462</EventID>
+  <TimeCreated SystemTime="t" RawTime="17" ></TimeCreated><Execution ProcessID="4" SessionID="9"/><Extra> R&amp;D &lt;x&gt; &#233;&#x1F642; </Extra>
+  <Extra>last &amp;lt;</Extra><Nested a="1" xmlns="u"><In>x</In></Nested><Empty/><Channel><![CDATA[Se<c & "d"]]></Channel></e:System>
+  <e:EventData><Data>none</Data><Data Name="A">1<![CDATA[]]></Data><Other Name="B">2</Other></e:EventData></e:Event>"""
+
+
+def test_every_child_of_system(spark, rows):
+    events = rows([(ODD_XML,), (None,), ("junk <System",), ("<Event><System/></Event>",)], "xml string").select(xml.parse_event("xml").alias("event"))
+    first, *others = (r["fields"] for r in xml.event_fields(events).collect())
+    assert first == {
+        "Provider_Name": 'P "q"', "Provider_Guid": "a>b", "EventID": "0462", "TimeCreated_SystemTime": "t", "TimeCreated_RawTime": "17",
+        "Execution_ProcessID": "4", "Execution_SessionID": "9", "Extra": "last &lt;", "Nested_a": "1", "Channel": 'Se<c & "d"', "A": "1", "Content": "A=1",
+    }
+    assert all(o == {"Content": ""} for o in others)
+    assert xml.event_fields_channel_in_content(events).first()["fields"]["Content"] == 'Channel=Se<c & "d";A=1'
+
+
+def test_event_files(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<Events>" + XML + "\n" + XML.replace("Event>", "Event>") + "</Events>\n")
+    found = xml.event_fields(xml.read_event_files(spark, str(tmp_path))).collect()
+    assert len(found) == 2 and {r["fields"]["EventID"] for r in found} == {"4624"}
+
+
 def test_common_and_all_fields(rows):
     df = rows([({"a": "1", "b": "2", "Content": "x"},), ({"a": "1", "c": "2", "Content": "y"},)], "fields map<string,string>")
     assert {r[0] for r in xml.field_names(df).collect()} == {"a", "Content"}
