@@ -23,8 +23,12 @@ NOT_SIMPLE = "[^ \\t\\n\\r!-~¡-įı-ɏ‐-‧‰-⁞€]|<[|]"
 WORD = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^ {LETTERS}{DIGITS}]+)"
 
 
+#: Bytes of text at once, and of distinct chunks whose ids a task keeps.
+SLICE_BYTES, KEPT_BYTES = 8 << 20, 16 << 20
+
+
 class Ids:
-    """Ids of texts; each distinct word of a slice goes to the library once."""
+    """Ids of texts; a word goes to the library once for each time the table of chunks was full."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
@@ -32,6 +36,7 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.ends[i] = piece.endswith("</w>")
+        self.forget()
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
@@ -49,22 +54,44 @@ class Ids:
             return self.library(listed)
         return ids, np.diff(stops, prepend=0)
 
-    def simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that the library would lower-case and split as is done here."""
-        lists = pc.ascii_split_whitespace(texts)
-        chunks, place = distinct(lists.flatten())
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks without blanks: lower-cased and split as the library does."""
         lowered = pc.replace_substring_regex(pc.utf8_lower(chunks), WORD, "\\1 ")
         parts = pc.ascii_split_whitespace(lowered)
-        words, word_place = distinct(parts.flatten())
-        keep = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[word_place]
+        words, place = distinct(parts.flatten())
+        keep = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[place]
         per_chunk = sums(keep.astype(np.int64), row_lengths(parts))
-        word_place = word_place[keep]
+        place = place[keep]
         ids, counts = self.words(words)
-        # ids of a chunk are those of its words, ids of a text those of its chunks
-        chunk_ids = ids[runs(starts_of(counts)[word_place], counts[word_place])]
-        chunk_counts = sums(counts[word_place], per_chunk)
-        row_counts = sums(chunk_counts[place], row_lengths(lists))
-        return chunk_ids[runs(starts_of(chunk_counts)[place], chunk_counts[place])], row_counts
+        return ids[runs(starts_of(counts)[place], counts[place])], sums(counts[place], per_chunk)
+
+    def remembered(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks; those met before in the task come from a table of bounded size."""
+        if self.letters > KEPT_BYTES:
+            self.forget()
+        listed = chunks.to_pylist()
+        at = np.fromiter((self.known.get(c, -1) for c in listed), np.int64, len(listed))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = chunks.take(pa.array(new))
+            ids, counts = self.chunks(fresh)
+            at[new] = np.arange(len(self.counts), len(self.counts) + len(new))
+            self.known.update(zip([listed[k] for k in new.tolist()], at[new].tolist()))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+            self.letters += int(pc.sum(pc.binary_length(fresh)).as_py())
+        return self.ids[runs(starts_of(self.counts)[at], self.counts[at])], self.counts[at]
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.counts, self.letters = np.zeros(0, "<u4"), np.zeros(0, np.int64), 0
+
+    def simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that the library would lower-case and split as is done here."""
+        lists = pc.ascii_split_whitespace(texts)
+        chunks, place = distinct(lists.flatten())
+        ids, counts = self.remembered(chunks)
+        row_counts = sums(counts[place], row_lengths(lists))
+        return ids[runs(starts_of(counts)[place], counts[place])], row_counts
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring_regex(texts, NOT_SIMPLE)
@@ -85,7 +112,7 @@ def piece_batches(vocabulary: bytes, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         ids = Ids(Tokenizer.from_buffer(vocabulary))
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=SLICE_BYTES):
             rows = []
             for k, tokens in enumerate(ids.texts(texts)):
                 tokens = np.concatenate([tokens, end])
