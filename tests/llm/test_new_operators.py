@@ -189,3 +189,43 @@ def test_odd_pages(spark):
     assert got.columns == ["page_id", "url", "text", "n_blocks", "n_kept"]
     assert sorted((r["n_blocks"], len(r["text"])) for r in got.collect())[:3] == [(0, 0)] * 3 and got.count() == 4
     assert extraction.extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def resembling(spark, data):
+    from logloom.llm import resemblance
+
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").select(F.struct("doc_id", "text").alias("row"))
+    hashed = docs.mapInArrow(resemblance.print_batches(5), "row struct<doc_id: long, text: string>, print long, buckets array<long>")
+    sets = hashed.select("print", "row.text").distinct().mapInArrow(resemblance.set_batches(5), "print long, set array<long>")
+    rooted = hashed.select(F.explode("buckets").alias("bucket"), "print", F.col("print").alias("root")).distinct()
+    return resemblance, rooted, sets
+
+
+def test_a_shared_passage_makes_few_pairs(spark):
+    """Texts that share a passage of three quarters, but are not near copies, meet in proportion to their number."""
+    counts = []
+    for n in (100, 200, 400):
+        rng = np.random.default_rng(n)
+        passage = " ".join(f"p{i}" for i in range(240))
+        texts = [passage + " " + " ".join(f"w{rng.integers(10**7)}" for _ in range(80)) for _ in range(n)]
+        resemblance, rooted, sets = resembling(spark, texts)
+        assert rooted.groupBy("bucket").count().agg(F.max("count")).first()[0] > n // 20
+        counts.append(resemblance.rest_pairs(rooted, sets, 0.8).count())
+    assert counts[2] <= 4 * counts[0] + 400
+
+
+def test_rest_pairs_lose_none(spark):
+    """Every pair of a large bucket that is alike is among the pairs, however the texts are made."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(0, 5), replace=False):
+            words[at] = f"x{rng.integers(9)}"
+        texts.append(" ".join(words[: 60 - rng.integers(0, 8)]))
+    resemblance, rooted, sets = resembling(spark, texts)
+    found = {(r["a"], r["b"]) for r in resemblance.rest_pairs(rooted.withColumn("bucket", F.lit(1)).distinct(), sets, 0.8).collect()}
+    held = {r["print"]: set(r["set"]) for r in sets.collect()}
+    want = {(a, b) for a in held for b in held if a < b and 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])}
+    assert len(want) > 30 and want <= found
