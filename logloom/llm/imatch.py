@@ -7,46 +7,49 @@ from pyspark.sql import functions as F
 
 from logloom.session import written
 
-LADDERS = 16
-LARGEST = (1 << 63) - 1
-#: Where the ladders start among the hashes: one in each sixteenth, at odd places.
+#: Families of lexicons, and lexicons in each: a lexicon has half of the terms of the one before.
+LADDERS, LEVELS = 12, 12
+#: Where the families start among the hashes of terms: at odd places, one in each sixteenth.
 LADDER_STARTS = [(r << 59) | (0x5A17C3D2E4B60F9 >> r) for r in range(LADDERS)]
+NO_TERMS = "array<bigint>"
 
 
-def terms(text: Column) -> Column:
-    """Sorted hashes of the distinct terms of a text: what stands between blanks and punctuation."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def words(text: Column) -> Column:
+    """Words of a text: what stands between blanks and punctuation, in lower case."""
+    return F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != "")
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """(term, idf) of each term: log(n / documents with it) as a share of the largest, log(n)."""
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return counted.select("term", (F.log(n / F.col("df")) / F.log(F.greatest(n, F.lit(2)))).alias("idf"))
+def terms(text: Column) -> Column:
+    """Sorted hashes of the distinct words of a text."""
+    return F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
 
 
-def banded_terms(texts: DataFrame, found: DataFrame, low: float, high: float) -> DataFrame:
-    """(key, of_text, of_edited): the terms in the band of both texts of each key, which may be none.
+def frequencies(texts: DataFrame) -> DataFrame:
+    """(term, idf, only): log(n / texts with it) as a share of the largest, log(n), and the text of a single one.
 
-    ``texts`` has key, text and edited; ``found`` is a table of frequencies.  Common terms lie below
-    ``low``, those of a single document above ``high``.  Common terms are few, as each takes many
-    documents, and go first, so that no term has many of the rows that are dealt by term.
+    ``texts`` has doc_id and text.  ``only`` holds doc_id and a hash of the text, so a term of one text
+    is found there again without a row for each term of each text.
     """
-    own, new = terms(F.col("text")), terms(F.col("edited"))
-    sides = lambda these, side: F.transform(these, lambda t: F.struct(t.alias("term"), F.lit(side).alias("side")))
-    rows = (
-        texts.select("key", own.alias("own"), new.alias("new"))
-        .select("key", F.explode(F.concat(
-            sides(F.array_intersect("own", "new"), 3), sides(F.array_except("own", "new"), 1), sides(F.array_except("new", "own"), 2)
-        )).alias("t"))
-        .select("key", "t.term", "t.side")
+    n = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    place = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    counted = (
+        texts.select(place.alias("place"), F.explode(terms(F.col("text"))).alias("term"))
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("place").alias("only"))
     )
-    of = lambda side: F.array_sort(F.collect_set(F.when(F.col("side").bitwiseAND(side) > 0, F.col("term"))))
-    return (
-        rows.join(found.filter(F.col("idf") < low), "term", "left_anti")
-        .join(found.filter(F.col("idf").between(low, high)), "term", "left_semi")
-        .groupBy("key").agg(of(1).alias("of_text"), of(2).alias("of_edited"))  # terms of one text
+    idf = F.log(n / F.col("df")) / F.log(F.greatest(n, F.lit(2)))
+    return counted.select("term", idf.alias("idf"), F.when(F.col("df") == 1, F.col("only")).alias("only"))
+
+
+def common_terms(found: DataFrame, low: float) -> DataFrame:
+    """One row with the terms below the band.  Each stands in n^(1-low) texts or more, so there are at most n^low
+    times the mean number of terms of a text."""
+    return found.filter(F.col("idf") < low).agg(F.array_sort(F.collect_list("term")).alias("common"))
+
+
+def single_terms(found: DataFrame) -> DataFrame:
+    """(single_id, single_h, single): the terms of each text that stand in no other."""
+    return found.filter("only is not null").groupBy(F.col("only.doc_id").alias("single_id"), F.col("only.h").alias("single_h")).agg(
+        F.collect_list("term").alias("single")  # terms of one text
     )
 
 
@@ -54,35 +57,41 @@ def shifted(value: Column, places: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, places)
 
 
-def with_fingerprint(df: DataFrame, text: str, in_band: str, name: str) -> DataFrame:
-    """Add ``name``, the fingerprint of the column ``text``: an array of ``LADDERS`` hashes.
+def lexicon_hashes(in_band: Column) -> Column:
+    """For each ladder, level by level: the hash of all ``in_band`` terms in that lexicon, -1 if there is none.
 
-    A ladder is a nest of random lexicons, each with half of the terms of the one before: those whose
-    hashes share one more leading bit with the ladder's start.  A document is hashed on the smallest
-    of these lexicons that has any of its terms ``in_band``, so long and short documents are told apart
-    alike.  A document without terms in the band is hashed on all its terms.
+    The lexicons are fixed and the same for all texts: that of level k of a ladder has the terms whose
+    hashes share k leading bits with the ladder's start.  ``in_band`` is sorted and distinct.
     """
-    banded, rungs = f"{name}_banded", f"{name}_rungs"
     starts = F.array(*[F.lit(c).cast("long") for c in LADDER_STARTS])
-    away = lambda t, start: t.bitwiseXOR(start).bitwiseAND(LARGEST)
-    rung = lambda start: F.length(F.bin(F.array_min(F.transform(banded, lambda t: away(t, start)))))
-    near = lambda start, bits: F.xxhash64(F.filter(banded, lambda t: shifted(away(t, start), bits) == 0))
-    return (
-        df.withColumn(banded, F.when(F.size(in_band) > 0, F.col(in_band)).otherwise(terms(F.col(text))))
-        .withColumn(rungs, F.transform(starts, rung))
-        .withColumn(name, F.zip_with(starts, rungs, near))
-        .drop(banded, rungs)
-    )
+    hashed = lambda ts: F.when(F.size(ts) > 0, F.xxhash64(ts).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(-1).cast("long"))
+
+    def ladder(start: Column) -> Column:
+        def rung(sets: Column, k: Column) -> Column:
+            last = F.element_at(sets, -1)
+            return F.array_append(sets, F.filter(last, lambda t: shifted(t.bitwiseXOR(start), F.lit(63) - k).bitwiseAND(1) == 0))
+
+        nested = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS - 1)), F.array(in_band), rung)
+        return F.transform(nested, hashed)
+
+    return F.flatten(F.transform(starts, ladder))
+
+
+def tips(hashes: Column) -> Column:
+    """For each ladder a hash of the smallest lexicon that has any of the terms, and of what it has."""
+    ladders = F.transform(F.sequence(F.lit(0), F.lit(LADDERS - 1)), lambda r: F.slice(hashes, r * LEVELS + 1, F.lit(LEVELS)))
+    return F.transform(ladders, lambda hs: F.xxhash64(F.size(F.filter(hs, lambda h: h >= 0)), F.array_max(F.slice(hs, F.greatest(F.size(F.filter(hs, lambda h: h >= 0)), F.lit(1)), F.lit(1)))))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the ladders on which two fingerprints have the same hash."""
+    """Share of the ladders on whose smallest lexicons with terms of either text both have the same terms."""
     same = F.zip_with(a, b, lambda x, y: (x == y).cast("double"))
     return F.aggregate(same, F.lit(0.0), lambda s, x: s + x) / LADDERS
 
 
 def shown(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lower(F.hex(x))), "-")
+    """A fingerprint as text: eight hexadecimal digits for each lexicon, a dash for one without terms."""
+    return F.array_join(F.transform(fingerprint, lambda h: F.when(h < 0, "-").otherwise(F.lower(F.lpad(F.hex(h), 8, "0")))), ".")
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -110,49 +119,84 @@ def next_ids(docs: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint_edits(docs: DataFrame, low: float = 0.25, high: float = 0.95) -> DataFrame:
+def edited_texts(texts: DataFrame, order: DataFrame, single: DataFrame) -> DataFrame:
+    """(doc_id, text, edited, single, next_single, doubtful) of each row of ``texts``.
+
+    ``edited`` has the last third of the text replaced by the beginning of the next document;
+    ``single`` and ``next_single`` are the terms of either that stand nowhere else; ``doubtful`` are
+    the terms of ``edited`` that neither text need have: those that the two cuts made.  Whole texts are
+    dealt by doc_id once; besides them only heads and short lists move.
+    """
+    own = (
+        texts.alias("d").join(single.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.single_id")) & (F.xxhash64("d.text") == F.col("s.single_h")), "left")
+        .select("doc_id", "text", F.coalesce("single", F.array().cast(NO_TERMS)).alias("single"))
+    )
+    heads = (
+        own.alias("d").join(order.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.next.doc_id")))
+        .select(F.col("o.asker.doc_id").alias("asker"), F.substring("text", F.lit(1), F.col("wanted")).alias("head"), "single")
+        .groupBy("asker").agg(F.min(F.struct("head", "single")).alias("head"))
+    )
+    n = F.length("text")
+    joined = own.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.asker"))).select(
+        "doc_id", "text", "single", F.col("head.single").alias("next_single"), F.col("head.head").alias("head"),
+        F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), "head.head").alias("edited"),
+    )
+    told = words(F.col("head"))
+    whole = F.transform(F.slice(told, F.lit(1), F.greatest(F.size(told) - 1, F.lit(0))), lambda w: F.xxhash64(w))
+    doubtful = F.array_except(F.array_except(terms(F.col("edited")), terms(F.col("text"))), whole)
+    return joined.withColumn("doubtful", doubtful).drop("head")
+
+
+def fingerprint_edits(docs: DataFrame, low: float = 0.25) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are.
 
-    Returns doc_id, n_chars, edited (the text whose last third is replaced by the beginning of the
-    next document by falling doc_id), fingerprint and edited_fingerprint (arrays), near_edited and
-    near_next (to the next document's fingerprint).
+    Returns doc_id, n_chars, edited_sha256 (of the text whose last third is replaced by the beginning of
+    the next document by falling doc_id), fingerprint and edited_fingerprint (hashes by ladder and
+    level), near_edited and near_next (to the next document's fingerprint).
 
-    A null text is empty.  Rows that share an id (or have none) hold one place in the order, as long
+    The band of terms lies from ``low`` up to, but without, the idf of terms of a single document.  A
+    null text is empty.  Rows that share an id (or have none) hold one place in the order, as long
     as the longest of them, and as a next document show their smallest text and fingerprint; all rows
     come back.  A single document is next to itself; an empty table gives no rows.
     """
-    band = written(frequencies(docs).filter(F.col("idf") <= high), "frequencies")
-    order = written(next_ids(docs), "order")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    heads = (
-        texts.alias("d").join(order.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.next.doc_id")))
-        .select(F.col("o.asker.doc_id").alias("asker"), F.substring("text", F.lit(1), F.col("wanted")).alias("head"))
-        .groupBy("asker").agg(F.min("head").alias("head"))
+    found = written(frequencies(texts), "frequencies")
+    order = written(next_ids(docs), "order")
+    single = written(single_terms(found), "single")
+    common = written(common_terms(found, low), "common")
+    edited = edited_texts(texts, order, single)
+
+    place = lambda: F.struct("doc_id", F.xxhash64("text").alias("h"))
+    asked = edited.select(place().alias("place"), F.explode("doubtful").alias("term"))
+    banded = found.filter((F.col("idf") >= low) & F.col("only").isNull()).select("term")
+    sure = written(
+        asked.join(banded, "term", "left_semi").groupBy("place").agg(F.array_distinct(F.collect_list("term")).alias("sure"))
+        .select(F.col("place.doc_id").alias("sure_id"), F.col("place.h").alias("sure_h"), "sure"),
+        "sure",
     )
-    n = F.length("text")
-    edited = written(
-        texts.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.asker")))
+    every = common.select("common").scalar()
+    without = lambda ts, *gone: F.array_except(ts, F.concat(*gone))
+    placed = (
+        edited.withColumn("common", every).alias("e").join(sure.alias("s"), F.col("e.doc_id").eqNullSafe(F.col("s.sure_id")) & (F.xxhash64("e.text") == F.col("s.sure_h")), "left")
         .select(
-            "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), n.cast("long").alias("n_chars"),
-            F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), "head").alias("edited"),
-        ),
-        "edited",
+            "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+            F.array_sort(without(terms(F.col("text")), "common", "single")).alias("own"),
+            F.array_sort(F.array_union(
+                without(terms(F.col("edited")), "common", "single", "next_single", "doubtful"),
+                F.coalesce("sure", F.array().cast(NO_TERMS)),
+            )).alias("new"),
+        )
     )
-    banded = edited.join(banded_terms(edited, band, low, high), "key", "left")
-    marked = with_fingerprint(with_fingerprint(banded, "text", "of_text", "fingerprint"), "edited", "of_edited", "edited_fingerprint")
-    found = written(
-        marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint"),
-        "fingerprints",
+    marked = placed.select("doc_id", "n_chars", "edited_sha256", lexicon_hashes(F.col("own")).alias("fingerprint"), lexicon_hashes(F.col("new")).alias("edited_fingerprint"))
+    stored = written(
+        marked.withColumns({"tips": tips(F.col("fingerprint")), "edited_tips": tips(F.col("edited_fingerprint"))}), "fingerprints"
     )
     following = (
-        found.alias("f").join(order.alias("o"), F.col("f.doc_id").eqNullSafe(F.col("o.next.doc_id")))
-        .groupBy(F.col("o.asker.doc_id").alias("asker")).agg(F.min("fingerprint").alias("next_fingerprint"))
+        stored.alias("f").join(order.alias("o"), F.col("f.doc_id").eqNullSafe(F.col("o.next.doc_id")))
+        .groupBy(F.col("o.asker.doc_id").alias("asker")).agg(F.min("tips").alias("next_tips"))
     )
     return (
-        found.alias("f").join(following.alias("n"), F.col("f.doc_id").eqNullSafe(F.col("n.asker")))
-        .withColumns({
-            "near_edited": likeness("fingerprint", "edited_fingerprint"),
-            "near_next": likeness("fingerprint", "next_fingerprint"),
-        })
+        stored.alias("f").join(following.alias("n"), F.col("f.doc_id").eqNullSafe(F.col("n.asker")))
+        .withColumns({"near_edited": likeness("tips", "edited_tips"), "near_next": likeness("tips", "next_tips")})
         .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     )

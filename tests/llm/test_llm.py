@@ -1,8 +1,12 @@
 """The operators against plain versions, and on nulls, empty and long texts, repeated rows, no rows."""
 
 import hashlib
+import math
 import random
+import re
+import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -225,6 +229,53 @@ def test_edits_and_likeness(odd, docs, none):
     assert imatch.fingerprint_edits(none).count() == 0
 
 
+def plain_fingerprints(have):
+    """Band, lexicons, fingerprints and likeness, text by text; have maps doc_id to text."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    terms = lambda t: {signed(xxh64_intdigest(w, 42)) for w in re.split(r"[ \t\n\v\f\r!-/:-@\[-`{-~]+", t.lower()) if w}
+    df, n = Counter(t for text in have.values() for t in terms(text)), len(have)
+    in_band = lambda t: df[t] > 1 and math.log(n / df[t]) / math.log(n) >= 0.25
+
+    def hashed(found):
+        h = 42
+        for t in sorted(found):
+            h = xxh64_intdigest(struct.pack("<q", t), h)
+        return h & 0xFFFFFFFF if found else -1
+
+    def fingerprint(text):
+        mine = {t for t in terms(text) if in_band(t)}
+        return [
+            hashed({t for t in mine if ((t ^ start) & ((1 << 63) - 1)) >> (63 - k) == 0})
+            for start in imatch.LADDER_STARTS for k in range(imatch.LEVELS)
+        ]
+
+    def likeness(a, b):
+        same = 0
+        for r in range(imatch.LADDERS):
+            x, y = ([h for h in f[r * imatch.LEVELS : (r + 1) * imatch.LEVELS] if h >= 0] for f in (a, b))
+            same += (len(x), x[-1:]) == (len(y), y[-1:])
+        return same / imatch.LADDERS
+
+    ids, out = sorted(have, reverse=True), {}
+    for k, d in enumerate(ids):
+        text, follow = have[d], have[ids[(k + 1) % len(ids)]]
+        edited = text[: len(text) - len(text) // 3] + follow[: len(text) // 3]
+        own, new = fingerprint(text), fingerprint(edited)
+        out[d] = (own, new, likeness(own, new), likeness(own, fingerprint(follow)))
+    return out
+
+
+def test_fingerprints_like_a_plain_version(spark, docs):
+    more = ["", "one", "one two", "x" * 50, "the cut cuts the word wordword", "the cut cuts the word wordwor", "word wor wo w cut", "!!! ???", "wordword wor", None]
+    data = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(more)], "doc_id long, text string"))
+    want = plain_fingerprints(dict(texts(data)))
+    got = imatch.fingerprint_edits(data.repartition(5)).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (list(r["fingerprint"]), list(r["edited_fingerprint"])) == want[r["doc_id"]][:2], r["doc_id"]
+        assert (r["near_edited"], r["near_next"]) == pytest.approx(want[r["doc_id"]][2:])
+
+
 def test_band_counts_each_term_by_itself(spark):
     """Terms that agree in their last 20 bits keep their own frequencies."""
     by_slot, k = {}, 0
@@ -233,10 +284,12 @@ def test_band_counts_each_term_by_itself(spark):
         by_slot.setdefault(r["h"] & ((1 << 20) - 1), []).append(r)
     rare, common = next(v for v in by_slot.values() if len(v) > 1)[:2]
     data = [(d, f"{common['w']} own{d}x" + (f" {rare['w']}" if d < 3 else "")) for d in range(400)]
-    frame = spark.createDataFrame(data, "doc_id long, text string").withColumns({"key": F.col("doc_id"), "edited": F.col("text")})
-    found = imatch.banded_terms(frame, imatch.frequencies(frame), 0.25, 0.95).collect()
-    assert {r["key"]: r["of_text"] for r in found} == {d: [rare["h"]] for d in range(3)}
-    assert all(r["of_text"] == r["of_edited"] for r in found)
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    found = imatch.frequencies(frame)
+    banded = {r["term"]: r["idf"] for r in found.filter("only is null").collect()}
+    assert set(banded) == {rare["h"], common["h"]} and banded[common["h"]] == 0 and 0.25 < banded[rare["h"]] < 1
+    assert imatch.common_terms(found, 0.25).first()["common"] == [common["h"]]
+    assert {r["single_id"]: len(r["single"]) for r in imatch.single_terms(found).collect()} == {d: 1 for d in range(400)}
     ids = spark.createDataFrame([(k << 20, "abc") for k in range(500)] + [(None, "x")], "doc_id long, text string").repartition(5)
     got = {r["asker"][0]: r["next"][0] for r in imatch.next_ids(ids).collect()}
     assert got == {None: 499 << 20, 0: None, **{k << 20: (k - 1) << 20 for k in range(1, 500)}}
