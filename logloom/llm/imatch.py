@@ -14,9 +14,12 @@ LADDER_STARTS = [(r << 59) | (0x5A17C3D2E4B60F9 >> r) for r in range(LADDERS)]
 NO_TERMS = "array<bigint>"
 
 
+BREAKS = r"[\s\p{Punct}]+"
+
+
 def words(text: Column) -> Column:
     """Words of a text: what stands between blanks and punctuation, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), BREAKS), lambda w: w != "")
 
 
 def terms(text: Column) -> Column:
@@ -47,10 +50,9 @@ def common_terms(found: DataFrame, low: float) -> DataFrame:
 
 
 def single_terms(found: DataFrame) -> DataFrame:
-    """(single_id, single_h, single): the terms of each text that stand in no other."""
-    return found.filter("only is not null").groupBy(F.col("only.doc_id").alias("single_id"), F.col("only.h").alias("single_h")).agg(
-        F.collect_list("term").alias("single")  # terms of one text
-    )
+    """(single_id, singles): for each id the terms of its texts that stand in no other, by a hash of the text."""
+    texts = found.filter("only is not null").groupBy("only").agg(F.collect_list("term").alias("single"))  # terms of one text
+    return texts.groupBy(F.col("only.doc_id").alias("single_id")).agg(F.collect_list(F.struct("only.h", "single")).alias("singles"))
 
 
 def shifted(value: Column, places: Column) -> Column:
@@ -119,32 +121,55 @@ def next_ids(docs: DataFrame) -> DataFrame:
     )
 
 
-def edited_texts(texts: DataFrame, order: DataFrame, single: DataFrame) -> DataFrame:
-    """(doc_id, text, edited, single, next_single, doubtful) of each row of ``texts``.
+def of_text(lists: str, field: str) -> Column:
+    """The array ``field`` that a list of (h, ...) has for the row's text; empty if it has none."""
+    mine = F.filter(lists, lambda s: s["h"] == F.xxhash64("text"))
+    return F.coalesce(F.get(mine, F.lit(0))[field], F.array().cast(NO_TERMS))
 
-    ``edited`` has the last third of the text replaced by the beginning of the next document;
-    ``single`` and ``next_single`` are the terms of either that stand nowhere else; ``doubtful`` are
-    the terms of ``edited`` that neither text need have: those that the two cuts made.  Whole texts are
-    dealt by doc_id once; besides them only heads and short lists move.
-    """
-    own = (
-        texts.alias("d").join(single.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.single_id")) & (F.xxhash64("d.text") == F.col("s.single_h")), "left")
-        .select("doc_id", "text", F.coalesce("single", F.array().cast(NO_TERMS)).alias("single"))
+
+def with_singles(texts: DataFrame, single: DataFrame) -> DataFrame:
+    """Add ``single``, the terms of each text that stand in no other.  Texts are dealt by doc_id alone, so
+    what is joined by doc_id afterwards does not move them again."""
+    joined = texts.join(single, F.col("doc_id").eqNullSafe(F.col("single_id")), "left")
+    return joined.withColumn("single", of_text("singles", "single")).drop("single_id", "singles")
+
+
+def next_heads(own: DataFrame, order: DataFrame) -> DataFrame:
+    """(asker, head, next_single): what each document takes from the next one, and that one's single terms."""
+    return (
+        own.join(order, F.col("doc_id").eqNullSafe(F.col("next.doc_id")))
+        .select(F.col("asker.doc_id").alias("asker"), F.substring("text", F.lit(1), F.col("wanted")).alias("head"), "single")
+        .groupBy("asker").agg(F.min(F.struct("head", "single")).alias("h"))
+        .select("asker", "h.head", F.col("h.single").alias("next_single"))
     )
-    heads = (
-        own.alias("d").join(order.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.next.doc_id")))
-        .select(F.col("o.asker.doc_id").alias("asker"), F.substring("text", F.lit(1), F.col("wanted")).alias("head"), "single")
-        .groupBy("asker").agg(F.min(F.struct("head", "single")).alias("head"))
+
+
+def prefix(text: str) -> Column:
+    """The text without its last third."""
+    return F.substring(text, F.lit(1), F.length(text) - F.floor(F.length(text) / 3).cast("int"))
+
+
+def cut_terms(texts: DataFrame, heads: DataFrame, banded: DataFrame) -> DataFrame:
+    """(cut_id, cuts): by hash of the text, the terms that the two cuts make, and which of them are in the band.
+
+    These are the last word of what stays with the first one of the head, and the head's last word; all
+    other terms of an edited text are terms of its two sources.
+    """
+    end = lambda c: F.element_at(F.split(c, BREAKS), -1)
+    tails = texts.select("doc_id", F.xxhash64("text").alias("h"), end(prefix("text")).alias("tail"))
+    made = F.array_distinct(F.filter(
+        F.array(F.concat("tail", F.element_at(F.split("head", BREAKS), 1)), F.when(F.size(F.split("head", BREAKS)) > 1, end(F.col("head")))),
+        lambda w: F.coalesce(w, F.lit("")) != "",
+    ))
+    asked = (
+        tails.join(heads, F.col("doc_id").eqNullSafe(F.col("asker")))
+        .select("doc_id", "h", F.explode(F.transform(made, lambda w: F.xxhash64(F.lower(w)))).alias("term"))
     )
-    n = F.length("text")
-    joined = own.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.asker"))).select(
-        "doc_id", "text", "single", F.col("head.single").alias("next_single"), F.col("head.head").alias("head"),
-        F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), "head.head").alias("edited"),
+    known = asked.join(banded.withColumn("sure", F.lit(True)), "term", "left")
+    return (
+        known.groupBy("doc_id", "h").agg(F.collect_set("term").alias("made"), F.collect_set(F.when(F.col("sure"), F.col("term"))).alias("sure"))
+        .groupBy(F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct("h", "made", "sure")).alias("cuts"))
     )
-    told = words(F.col("head"))
-    whole = F.transform(F.slice(told, F.lit(1), F.greatest(F.size(told) - 1, F.lit(0))), lambda w: F.xxhash64(w))
-    doubtful = F.array_except(F.array_except(terms(F.col("edited")), terms(F.col("text"))), whole)
-    return joined.withColumn("doubtful", doubtful).drop("head")
 
 
 def fingerprint_edits(docs: DataFrame, low: float = 0.25) -> DataFrame:
@@ -164,29 +189,23 @@ def fingerprint_edits(docs: DataFrame, low: float = 0.25) -> DataFrame:
     order = written(next_ids(docs), "order")
     single = written(single_terms(found), "single")
     common = written(common_terms(found, low), "common")
-    edited = edited_texts(texts, order, single)
-
-    place = lambda: F.struct("doc_id", F.xxhash64("text").alias("h"))
-    asked = edited.select(place().alias("place"), F.explode("doubtful").alias("term"))
+    own = with_singles(texts, single)
+    heads = written(next_heads(own, order), "heads")
     banded = found.filter((F.col("idf") >= low) & F.col("only").isNull()).select("term")
-    sure = written(
-        asked.join(banded, "term", "left_semi").groupBy("place").agg(F.array_distinct(F.collect_list("term")).alias("sure"))
-        .select(F.col("place.doc_id").alias("sure_id"), F.col("place.h").alias("sure_h"), "sure"),
-        "sure",
-    )
-    every = common.select("common").scalar()
-    without = lambda ts, *gone: F.array_except(ts, F.concat(*gone))
-    placed = (
-        edited.withColumn("common", every).alias("e").join(sure.alias("s"), F.col("e.doc_id").eqNullSafe(F.col("s.sure_id")) & (F.xxhash64("e.text") == F.col("s.sure_h")), "left")
+    cuts = written(cut_terms(texts, heads, banded), "cuts")
+    edited = (
+        own.join(heads, F.col("doc_id").eqNullSafe(F.col("asker"))).join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
         .select(
-            "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-            F.array_sort(without(terms(F.col("text")), "common", "single")).alias("own"),
-            F.array_sort(F.array_union(
-                without(terms(F.col("edited")), "common", "single", "next_single", "doubtful"),
-                F.coalesce("sure", F.array().cast(NO_TERMS)),
-            )).alias("new"),
+            "doc_id", "text", "single", "next_single", F.concat(prefix("text"), "head").alias("edited"),
+            of_text("cuts", "made").alias("made"), of_text("cuts", "sure").alias("sure"), common.select("common").scalar().alias("common"),
         )
     )
+    without = lambda ts, *gone: F.array_except(ts, F.concat(*gone))
+    placed = edited.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_sort(without(terms(F.col("text")), "common", "single")).alias("own"),
+        F.array_sort(F.array_union(without(terms(F.col("edited")), "common", "single", "next_single", "made"), F.col("sure"))).alias("new"),
+    )
     marked = placed.select("doc_id", "n_chars", "edited_sha256", lexicon_hashes(F.col("own")).alias("fingerprint"), lexicon_hashes(F.col("new")).alias("edited_fingerprint"))
     stored = written(
         marked.withColumns({"tips": tips(F.col("fingerprint")), "edited_tips": tips(F.col("edited_fingerprint"))}), "fingerprints"

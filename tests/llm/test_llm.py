@@ -289,7 +289,7 @@ def test_band_counts_each_term_by_itself(spark):
     banded = {r["term"]: r["idf"] for r in found.filter("only is null").collect()}
     assert set(banded) == {rare["h"], common["h"]} and banded[common["h"]] == 0 and 0.25 < banded[rare["h"]] < 1
     assert imatch.common_terms(found, 0.25).first()["common"] == [common["h"]]
-    assert {r["single_id"]: len(r["single"]) for r in imatch.single_terms(found).collect()} == {d: 1 for d in range(400)}
+    assert {r["single_id"]: [len(s["single"]) for s in r["singles"]] for r in imatch.single_terms(found).collect()} == {d: [1] for d in range(400)}
     ids = spark.createDataFrame([(k << 20, "abc") for k in range(500)] + [(None, "x")], "doc_id long, text string").repartition(5)
     got = {r["asker"][0]: r["next"][0] for r in imatch.next_ids(ids).collect()}
     assert got == {None: 499 << 20, 0: None, **{k << 20: (k - 1) << 20 for k in range(1, 500)}}
