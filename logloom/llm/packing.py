@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,20 +24,93 @@ NOT_SIMPLE = "[^ \\t\\n\\r!-~¡-įı-ɏ‐-‧‰-⁞€]|<[|]"
 WORD = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^ {LETTERS}{DIGITS}]+)"
 
 
-#: Bytes of text at once, and of distinct chunks whose ids a task keeps.
-SLICE_BYTES, KEPT_BYTES = 8 << 20, 16 << 20
+#: Bytes of text at once.
+SLICE_BYTES = 8 << 20
+
+
+#: Longest word, in bytes, that is merged here; longer ones are left to the library.
+LONGEST = 48
+
+
+def byte_symbols() -> list[str]:
+    """The symbol of each byte in byte-level vocabularies: itself if it prints, else one past the Latin letters."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
+
+class Merges:
+    """Pair merges of a byte-level vocabulary with word ends, for many words of one length at once."""
+
+    def __init__(self, model: dict):
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        self.inner = np.array([vocabulary[s] for s in byte_symbols()], np.int64)
+        self.last = np.array([vocabulary[s + end] for s in byte_symbols()], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.size = max(vocabulary.values()) + 1
+        keys = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order
+        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
+        self.never = len(pairs)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """When a pair is merged; ``never`` if it isn't."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.never)
+
+    def merge(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words given as rows of symbols, in order: the first pair of the least rank is merged
+        until none is left.  Every word that goes on gets one symbol shorter in each round."""
+        n, width = symbols.shape
+        out, counts, rows = np.zeros((n, width), np.int64), np.ones(n, np.int64), np.arange(n)
+        ranks = self.rank(symbols[:, :-1], symbols[:, 1:])
+        while True:
+            done = ranks.min(axis=1, initial=self.never) == self.never
+            out[rows[done], : symbols.shape[1]] = symbols[done]
+            counts[rows[done]] = symbols.shape[1]
+            rows, symbols, ranks = rows[~done], symbols[~done], ranks[~done]
+            if not len(rows):
+                return out[np.arange(width) < counts[:, None]], counts
+            at, each = ranks.argmin(axis=1), np.arange(len(rows))
+            new = self.made[ranks[each, at]]
+            left = np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, left + (left > at[:, None]), 1)
+            symbols[each, at] = new
+            pairs = np.arange(symbols.shape[1] - 1)
+            ranks = np.take_along_axis(ranks, pairs + (pairs >= at[:, None]), 1)
+            for side, some in ((at - 1, at > 0), (at, at < symbols.shape[1] - 1)):
+                k, p = each[some], side[some]
+                ranks[k, p] = self.rank(symbols[k, p], symbols[k, p + 1])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of large-string words of at most ``LONGEST`` bytes."""
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, offsets, data = words.buffers()
+        places = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words)]
+        text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        counts, found = np.zeros(len(words), np.int64), []
+        order = np.argsort(lengths, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []
+        for group in groups:
+            width = int(lengths[group[0]])
+            letters = text[places[group][:, None] + np.arange(width)]
+            symbols = np.concatenate([self.inner[letters[:, :-1]], self.last[letters[:, -1:]]], 1)
+            ids, counts[group] = self.merge(symbols)
+            found.append(ids)
+        sorted_ids, sorted_counts = np.concatenate([np.zeros(0, np.int64), *found]), counts[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = starts_of(sorted_counts)
+        return sorted_ids[runs(back, counts)].astype("<u4"), counts
 
 
 class Ids:
-    """Ids of texts; a word goes to the library once for each time the table of chunks was full."""
+    """Ids of texts as the tokenizers library gives them; each distinct word of a slice is merged once."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
-        vocabulary = tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for piece, i in vocabulary.items():
-            self.ends[i] = piece.endswith("</w>")
-        self.forget()
+        self.merges = Merges(json.loads(tokenizer.to_str())["model"])
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
@@ -45,51 +119,35 @@ class Ids:
         return np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum())), counts
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words: many to a text for the library, taken apart at the ids that end words."""
-        listed = words.to_pylist()
-        lines = [" ".join(listed[k : k + 200]) for k in range(0, len(listed), 200)]
-        ids, _ = self.library(lines)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(listed):
-            return self.library(listed)
-        return ids, np.diff(stops, prepend=0)
+        """Ids of distinct words."""
+        long = pc.greater(pc.binary_length(words), LONGEST)
+        if not pc.any(long).as_py():
+            return self.merges.words(words)
+        far = long.to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(words), np.int64)
+        near_ids, counts[~far] = self.merges.words(words.filter(pc.invert(long)))
+        far_ids, counts[far] = self.library(words.filter(long).to_pylist())
+        starts = np.where(far, len(near_ids), 0)
+        starts[~far] += starts_of(counts[~far])
+        starts[far] += starts_of(counts[far])
+        return np.concatenate([near_ids, far_ids])[runs(starts, counts)], counts
 
     def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks without blanks: lower-cased and split as the library does."""
         lowered = pc.replace_substring_regex(pc.utf8_lower(chunks), WORD, "\\1 ")
         parts = pc.ascii_split_whitespace(lowered)
-        words, place = distinct(parts.flatten())
+        words, place = distinct(parts.flatten().cast(pa.large_string()))
         keep = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[place]
         per_chunk = sums(keep.astype(np.int64), row_lengths(parts))
         place = place[keep]
         ids, counts = self.words(words)
         return ids[runs(starts_of(counts)[place], counts[place])], sums(counts[place], per_chunk)
 
-    def remembered(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks; those met before in the task come from a table of bounded size."""
-        if self.letters > KEPT_BYTES:
-            self.forget()
-        listed = chunks.to_pylist()
-        at = np.fromiter((self.known.get(c, -1) for c in listed), np.int64, len(listed))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh = chunks.take(pa.array(new))
-            ids, counts = self.chunks(fresh)
-            at[new] = np.arange(len(self.counts), len(self.counts) + len(new))
-            self.known.update(zip([listed[k] for k in new.tolist()], at[new].tolist()))
-            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-            self.letters += int(pc.sum(pc.binary_length(fresh)).as_py())
-        return self.ids[runs(starts_of(self.counts)[at], self.counts[at])], self.counts[at]
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.counts, self.letters = np.zeros(0, "<u4"), np.zeros(0, np.int64), 0
-
     def simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that the library would lower-case and split as is done here."""
         lists = pc.ascii_split_whitespace(texts)
         chunks, place = distinct(lists.flatten())
-        ids, counts = self.remembered(chunks)
+        ids, counts = self.chunks(chunks)
         row_counts = sums(counts[place], row_lengths(lists))
         return ids[runs(starts_of(counts)[place], counts[place])], row_counts
 
