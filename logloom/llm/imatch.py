@@ -69,12 +69,11 @@ def lexicon_hashes(in_band: Column) -> Column:
     hashed = lambda ts: F.when(F.size(ts) > 0, F.xxhash64(ts).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(-1).cast("long"))
 
     def ladder(start: Column) -> Column:
-        def rung(sets: Column, k: Column) -> Column:
-            last = F.element_at(sets, -1)
-            return F.array_append(sets, F.filter(last, lambda t: shifted(t.bitwiseXOR(start), F.lit(63) - k).bitwiseAND(1) == 0))
-
-        nested = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS - 1)), F.array(in_band), rung)
-        return F.transform(nested, hashed)
+        near = lambda k: lambda t: shifted(t.bitwiseXOR(start), F.lit(63) - k).bitwiseAND(1) == 0
+        with_hash = lambda acc: F.array_append(acc["out"], hashed(acc["left"]))
+        halved = lambda acc, k: F.struct(F.filter(acc["left"], near(k)).alias("left"), with_hash(acc).alias("out"))
+        begin = F.struct(in_band.alias("left"), F.array().cast(NO_TERMS).alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS - 1)), begin, halved, with_hash)
 
     return F.flatten(F.transform(starts, ladder))
 
