@@ -68,14 +68,15 @@ def lexicon_hashes(in_band: Column) -> Column:
     starts = F.array(*[F.lit(c).cast("long") for c in LADDER_STARTS])
     hashed = lambda ts: F.when(F.size(ts) > 0, F.xxhash64(ts).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(-1).cast("long"))
 
-    def ladder(start: Column) -> Column:
+    def ladder(start: Column, found: Column) -> Column:
         near = lambda k: lambda t: shifted(t.bitwiseXOR(start), F.lit(63) - k).bitwiseAND(1) == 0
         with_hash = lambda acc: F.array_append(acc["out"], hashed(acc["left"]))
         halved = lambda acc, k: F.struct(F.filter(acc["left"], near(k)).alias("left"), with_hash(acc).alias("out"))
-        begin = F.struct(in_band.alias("left"), F.array().cast(NO_TERMS).alias("out"))
+        begin = F.struct(found.alias("left"), F.array().cast(NO_TERMS).alias("out"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS - 1)), begin, halved, with_hash)
 
-    return F.flatten(F.transform(starts, ladder))
+    # in_band stands outside the lambda, where it is computed once and not for each ladder
+    return F.flatten(F.zip_with(starts, F.array_repeat(in_band, LADDERS), ladder))
 
 
 def tips(hashes: Column) -> Column:
