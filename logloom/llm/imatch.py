@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from logloom.session import written
 LADDERS, LEVELS = 12, 12
 #: Where the families start among the hashes of terms: at odd places, one in each sixteenth.
 LADDER_STARTS = [(r << 59) | (0x5A17C3D2E4B60F9 >> r) for r in range(LADDERS)]
+#: Bits after the sign in which any two starts differ.
+SHARED = 4
 NO_TERMS = "array<bigint>"
 
 
@@ -19,12 +23,12 @@ BREAKS = r"[\s\p{Punct}]+"
 
 def words(text: Column) -> Column:
     """Words of a text: what stands between blanks and punctuation, in lower case."""
-    return F.filter(F.split(F.lower(text), BREAKS), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), BREAKS), "")
 
 
 def terms(text: Column) -> Column:
     """Sorted hashes of the distinct words of a text."""
-    return F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w))))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(words(text)), lambda w: F.xxhash64(w))))
 
 
 def frequencies(texts: DataFrame) -> DataFrame:
@@ -59,24 +63,45 @@ def shifted(value: Column, places: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, places)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lexicon_hashes(in_band: Column) -> Column:
     """For each ladder, level by level: the hash of all ``in_band`` terms in that lexicon, -1 if there is none.
 
     The lexicons are fixed and the same for all texts: that of level k of a ladder has the terms whose
-    hashes share k leading bits with the ladder's start.  ``in_band`` is sorted and distinct.
+    hashes share k leading bits (after the sign) with the ladder's start.  Ladders whose starts share
+    those bits share the lexicon, so the first levels are cut once for all of them.  ``in_band`` is
+    sorted and distinct.
     """
-    starts = F.array(*[F.lit(c).cast("long") for c in LADDER_STARTS])
     hashed = lambda ts: F.when(F.size(ts) > 0, F.xxhash64(ts).bitwiseAND(0xFFFFFFFF)).otherwise(F.lit(-1).cast("long"))
-
-    def ladder(start: Column, found: Column) -> Column:
-        near = lambda k: lambda t: shifted(t.bitwiseXOR(start), F.lit(63) - k).bitwiseAND(1) == 0
-        with_hash = lambda acc: F.array_append(acc["out"], hashed(acc["left"]))
-        halved = lambda acc, k: F.struct(F.filter(acc["left"], near(k)).alias("left"), with_hash(acc).alias("out"))
-        begin = F.struct(found.alias("left"), F.array().cast(NO_TERMS).alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS - 1)), begin, halved, with_hash)
-
-    # in_band stands outside the lambda, where it is computed once and not for each ladder
-    return F.flatten(F.zip_with(starts, F.array_repeat(in_band, LADDERS), ladder))
+    near = lambda start, k: lambda t: shifted(t.bitwiseXOR(start), F.lit(63) - k).bitwiseAND(1) == 0
+    with_hash = lambda acc: F.array_append(acc["out"], hashed(acc["left"]))
+    heads = lambda k: sorted({start >> (63 - k) for start in LADDER_STARTS})
+
+    def ladder(group: Column, start: Column) -> Column:
+        halved = lambda acc, k: F.struct(F.filter(acc["left"], near(start, k)).alias("left"), with_hash(acc).alias("out"))
+        return F.aggregate(F.sequence(F.lit(SHARED + 1), F.lit(LEVELS - 1)), group, halved, with_hash)
+
+    def level(groups: Column, k: int) -> Column:
+        """All ladders from the groups of level k on, one for each beginning of k bits."""
+        if k == SHARED:
+            return F.flatten(F.zip_with(groups, F.array(*[F.lit(c).cast("long") for c in LADDER_STARTS]), ladder))
+        known = F.transform(groups, lambda g: F.struct(g["left"].alias("left"), with_hash(g).alias("out")))
+
+        def halves(done: Column) -> Column:
+            parts = []
+            for head in heads(k + 1):
+                of = F.get(done, F.lit(heads(k).index(head >> 1)))
+                kept = F.filter(of["left"], near(F.lit(head << (62 - k)).cast("long"), F.lit(k + 1)))
+                parts.append(F.struct(kept.alias("left"), of["out"].alias("out")))
+            return level(F.array(*parts), k + 1)
+
+        return bound(known, halves)
+
+    return level(F.array(F.struct(in_band.alias("left"), F.array().cast(NO_TERMS).alias("out"))), 0)
 
 
 def tips(hashes: Column) -> Column:
