@@ -10,6 +10,7 @@ from logloom.functions import text
 from logloom.operators import features, templates
 from logloom.operators.detectors import cluster, forest, matrix, supervised
 from logloom.operators.profile import template_catalogue
+from logloom.operators.splits import train_valid_split
 from logloom.plans import views
 from logloom.plans.registry import query, with_views
 from logloom.plans.vocab_queries import COUNTS, sequence_counts
@@ -258,32 +259,42 @@ def m4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("seq_id", "label", F.round("score", 6).alias("score"), "anomaly")
 
 
-def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Embeddings with one class against the rest, split by hash."""
-    from logloom.operators.splits import train_valid_split
+def labelled_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, columns and sequences of all windows for detectors that learn from labels of both kinds:
+    seven in ten random windows train, whatever their label, and their events are the columns."""
+    counts, sequences = sequence_counts(spark, sf_dir)
+    split = written(train_valid_split(sequences.drop("split"), "seq_id", 0.3), "labelled")
+    counts = counts.drop("split").join(split.select("seq_id", "split"), "seq_id")
+    events = features.training_events(counts.filter("split = 'train'"))
+    return features.count_features(counts, events), written(features.event_columns(events), "columns"), split
 
-    rows = views.table(spark, sf_dir, "embeddings").select(
-        "vec_id",
-        (F.col("label") == 0).cast("int").alias("label"),
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-    )
-    split = train_valid_split(rows, "vec_id", 0.3)
-    return split.filter("split = 'train'"), split.filter("split = 'valid'")
+
+def _sides(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    stored = written(vectors, "vectors")
+    return stored.filter("split = 'train'"), stored.filter("split = 'valid'")
+
+
+def _labelled_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cells, columns, split = labelled_cells(spark, sf_dir)
+    vectors = features.feature_vectors(cells, columns, split, columns.count())
+    return _sides(vectors.select("seq_id", "label", "split", "features"))
 
 
 @query("m5_decision_tree")
 def m5_decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = supervised.decision_tree(*_embedded(spark, sf_dir))
-    return scored.select("vec_id", "label", "anomaly")
+    scored = supervised.decision_tree(*_labelled_vectors(spark, sf_dir))
+    return scored.select("seq_id", "label", "anomaly")
 
 
 @query("m6_logistic_regression")
 def m6_logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = supervised.logistic_regression(*_embedded(spark, sf_dir))
-    return scored.select("vec_id", "label", "anomaly")
+    scored = supervised.logistic_regression(*_labelled_vectors(spark, sf_dir))
+    return scored.select("seq_id", "label", "anomaly")
 
 
 @query("m7_linear_svm")
 def m7_linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = supervised.linear_svm(*_embedded(spark, sf_dir))
-    return scored.select("vec_id", "label", "anomaly")
+    cells, columns, split = labelled_cells(spark, sf_dir)
+    vectors = features.sparse_vectors(cells, columns, split).select("seq_id", "label", "split", "cols", "xs")
+    scored = supervised.linear_svm(*_sides(vectors))
+    return scored.select("seq_id", "label", F.round("margin", 4).alias("margin"), "anomaly")

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from logloom.operators import evaluate, templates
-from logloom.operators.detectors import cluster, counts, dispersion, forest, matrix
+from logloom.operators.detectors import cluster, counts, dispersion, forest, matrix, supervised
 
 COUNTERS = "seq_id string, label int, num_error long, undetected_tokens long, masked_tokens long, deepSVDD_label long"
 
@@ -301,3 +301,28 @@ def test_counters_sum_over_all_chunks_of_a_long_window(rows):
     assert got["undetected_tokens"] == sum(p % 2 == 0 for p in hidden) and got["total_logkey"] == 104
     first = {r["chunk"]: r["before"] for r in near.orderBy("pos").collect() if r["pos"] % 32 == 0}
     assert set(first.values()) <= {3}
+
+
+def test_linear_svm_is_at_its_optimum(spark):
+    """Slopes of the loss are one against each weight that stays, and at most one at weights of zero."""
+    c, rng = 0.05, np.random.default_rng(5)
+    x = rng.poisson([0.5, 3, 1, 20, 0.2, 0], (300, 6)).astype(float)
+    y = np.where(x[:, 0] * 2 + x[:, 2] - 2 + rng.normal(0, 0.5, 300) > 0, 1, 0)
+    rows = [(int(v), [i for i in range(6) if r[i]], [float(q) for q in r if q]) for v, r in zip(y, x)]
+    df = spark.createDataFrame([*rows, (None, [0], [9.0])], "label int, cols array<int>, xs array<double>").repartition(4)
+    w = supervised.fit_linear_svm(df, c, 300, 1e-3)
+    full, sign = np.c_[x[:, : len(w) - 1], np.ones(300)], 2 * y - 1
+    slope = c * full.T @ (-2 * sign * np.maximum(0, 1 - sign * (full @ w)))
+    assert len(w) == 6 and np.count_nonzero(np.abs(w) > 1e-9) >= 2
+    zero = w == 0
+    assert (np.abs(slope[zero]) <= 1 + 1e-3).all()
+    assert np.allclose(slope[~zero], -np.sign(w[~zero]), atol=1e-2)
+    got = supervised.linear_svm(df, df, c).filter("label is not null").agg({"margin": "count"}).first()[0]
+    assert got == 300
+
+
+def test_linear_svm_of_odd_tables(spark):
+    schema = "label int, cols array<int>, xs array<double>"
+    assert supervised.fit_linear_svm(spark.createDataFrame([], schema)).tolist() == [0.0]
+    empty = spark.createDataFrame([(1, [], []), (0, [], [])], schema)
+    assert supervised.linear_svm(empty, empty).filter("anomaly = 1").count() == 0
