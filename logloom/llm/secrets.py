@@ -23,7 +23,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")  # a longest run of 16 or more is a longest run that isn't too short
 #: Kinds that are reported only once their structure has been parsed.
-PARSED_KINDS = ("jwt", "rsa_key", "pkcs8_key", "ec_key", "openssh_key")
+PARSED_KINDS = ("jwt", "rsa_key", "pkcs8_key", "ec_key", "openssh_key", "dsa_key", "encrypted_key")
+#: How the identifiers of password-based encryption begin: those of PKCS #5 and of PKCS #12.
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: A run of base64 and, after line breaks, its further lines.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:(?:\r?\n|\\n)[A-Za-z0-9+/_-]+)*")
 #: One stretch of base64, what may part two stretches of one key (blanks, line breaks, also escaped
@@ -33,9 +35,10 @@ BREAK = re.compile(r"(?:\s|\\+[rn]|\\+(?=/))+")
 GOES_ON = re.compile(r"-?[A-Za-z0-9+/_]")
 PADDING = re.compile(r"={0,2}")
 #: How a key begins in base64, wherever it stands: tag 0x30, a short or long length and a version of
-#: 0 or 1; or the magic of an OpenSSH container.
+#: 0 or 1, or the algorithm of an encrypted key; or the magic of an OpenSSH container.
 KEY_START = re.compile(
-    r"M(?:[A-H]~CAQ[AE]|I(?:[GH]~AgE[AB]|[I-L]~~[AQgw]IBA|[M-P]~~~~CAQ[AE]|[Q-T]~~~~~AgE[AB]))"
+    r"M(?:[A-H]~CAQ[AE]|I(?:[GH]~AgE[AB]|[I-L]~~[AQgw]IBA|[M-P]~~~~CAQ[AE]|[Q-T]~~~~~AgE[AB]"
+    r"|[GH]~M[A-H]~GC[Si]qGSIb3DQE|[I-L]~~[DTjz][AB]~Bg[ko]qhkiG9w0B|[M-P]~~~~w~[AQgw]Y[JK]KoZIhvcNAQ))"
     r"|b3BlbnNzaC1rZXktdjEA".replace("~", r"(?:[A-Za-z0-9+_-]|\\*/)")
 )
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
@@ -88,11 +91,19 @@ def der_key(data: bytes) -> str | None:
     if outer is None or outer[0] != 0x30 or outer[2] != len(data):
         return None
     parts = elements(data, outer[1], outer[2])
-    if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
+    if not parts:
+        return None
+    if [p[0] for p in parts] == [0x30, 0x04]:
+        algorithm = elements(data, parts[0][1], parts[0][2])
+        known = algorithm and algorithm[0][0] == 0x06 and data[algorithm[0][1] : algorithm[0][2]].startswith(ENCRYPTION)
+        return "encrypted_key" if known else None  # algorithm of the encryption, encrypted key
+    if parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return None
     version, tags = data[parts[0][1]], [p[0] for p in parts]
     if version in (0, 1) and len(parts) >= 9 and set(tags[:9]) == {0x02}:
         return "rsa_key"  # version, modulus, exponents, primes, and what follows from them
+    if version == 0 and tags == [0x02] * 6:
+        return "dsa_key"  # version, prime, order, generator, public and private number
     if version == 1 and tags[1:2] == [0x04] and set(tags[2:]) <= {0xA0, 0xA1}:
         return "ec_key"  # version, scalar, then curve and public point
     if version in (0, 1) and tags[1:3] == [0x30, 0x04]:
@@ -136,7 +147,7 @@ def wrapped_der_key(text: str, at: int) -> tuple[str, int] | None:
     width = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
     size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1] if len(head) > 1 else 0)
     version = 2 + width
-    if len(head) < version + 4 or head[version + 3] not in (0x02, 0x04, 0x30) or size > len(text) - at:
+    if len(head) < version + 4 or (head[version] != 0x30 and head[version + 3] not in (0x02, 0x04, 0x30)) or size > len(text) - at:
         return None
     data, end = unwrapped(text, at, size)
     kind = der_key(data) if len(data) == size else None

@@ -370,7 +370,7 @@ def test_keys_in_every_layout(extra):
 
     def tlv(tag, content):
         n = len(content)
-        size = bytes([n]) if n < 128 else bytes([129, n]) if n < 256 else bytes([130]) + n.to_bytes(2, "big")
+        size = bytes([n]) if n < 128 else bytes([129, n]) if n < 256 else bytes([130]) + n.to_bytes(2, "big") if n < 65536 else bytes([131]) + n.to_bytes(3, "big")
         return bytes([tag]) + size + content
 
     field = lambda x: len(x).to_bytes(4, "big") + x
@@ -382,7 +382,12 @@ def test_keys_in_every_layout(extra):
     pkcs8 = lambda k: tlv(0x30, version(0) + tlv(0x30, tlv(6, noise(9)) + b"\5\0") + tlv(4, rsa(k)))
     ssh = lambda k: b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(noise(51)) + field(noise(136 + k))
     short = lambda k: tlv(0x30, version(0) + tlv(0x30, tlv(6, noise(3))) + tlv(4, tlv(4, noise(32 + k))))
-    kinds = {"RSA ": (rsa, "rsa_key"), "EC ": (ec, "ec_key"), "": (pkcs8, "pkcs8_key"), "OPENSSH ": (ssh, "openssh_key"), "SHORT ": (short, "pkcs8_key")}
+    dsa = lambda k: tlv(0x30, version(0) + number(128 + k) + number(20) + b"".join(number(128) for _ in range(2)) + number(20))
+    locked = lambda least, oid: lambda k: tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex(oid)) + tlv(0x30, noise(14))) + tlv(4, noise(least + k)))
+    digest = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")) + b"\5\0") + tlv(4, noise(132)))
+    assert parsed_spans(base64.b64encode(digest).decode()) == []  # a digest has the same shape
+    encrypted = {f"ENCRYPTED {n} ": (locked(n, oid), "encrypted_key") for n, oid in [(140, "2a864886f70d01050d"), (1200, "2a864886f70d01050d"), (640, "2a864886f70d010c0103"), (66_000, "2a864886f70d01050d")]}
+    kinds = encrypted | {"DSA ": (dsa, "dsa_key"), "RSA ": (rsa, "rsa_key"), "EC ": (ec, "ec_key"), "": (pkcs8, "pkcs8_key"), "OPENSSH ": (ssh, "openssh_key"), "SHORT ": (short, "pkcs8_key")}
     for name, (make, kind) in kinds.items():
         whole = base64.b64encode(make(extra)).decode()
         for body in {whole, whole.rstrip("=")}:
@@ -395,6 +400,13 @@ def test_keys_in_every_layout(extra):
                 assert kind == "openssh_key" or parsed_spans(inner[: -len(inner) // 4]) == []
 
 
+def test_marks_alone_are_no_language(spark):
+    model = language.learn(spark.createDataFrame([("le chat dort", "fr"), ("the cat sleeps", "en")], "text string, lang string"))
+    rows = spark.createDataFrame([(1, "\u0301\u0301"), (2, "\u0301 le chat dort"), (3, None)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language.label_languages(rows, model).collect()}
+    assert found == {1: ("und", False), 2: ("fr", True), 3: ("und", False)}
+
+
 def test_token_counts_like_plain_forward_steps(odd, none):
     with open(PIECES, "rb") as file:
         scores = counts.zipf_scores(file.read())
