@@ -35,6 +35,7 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
 }
 WORD = r"([^\pL\pM]+)"
+LETTER = r"\pL"  # marks alone are no word
 GRAM = 3
 #: A script counts for a language if it writes this share of the language's sampled words.
 SCRIPT_SHARE = 0.01
@@ -227,7 +228,7 @@ def label_batches(model: LanguageModel, penalty: float):
         for batch, texts in text_slices(batches, most=8 << 20):
             lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(texts), WORD, " "), " ")
             words, place = distinct(lists.flatten())
-            real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+            real = pc.match_substring_regex(words, LETTER).to_numpy(zero_copy_only=False)
             keep = real[place]
             lengths = sums(keep.astype(np.int64), row_lengths(lists))
             found, place = place[keep], None
