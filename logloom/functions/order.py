@@ -72,6 +72,26 @@ def index_rows(
     return out.drop("_inside", "_offset", "_before", "_carry", *keys)
 
 
+def with_totals(
+    df: DataFrame, blocks: Sequence[Column], partition_by: Sequence[str], totals: dict[str, tuple[Column, str]]
+) -> DataFrame:
+    """Add aggregates of each row's partition to the row: ``{name: (column, "min" | "max" | "count")}``.
+
+    Blocks are counted by themselves, their small table carries the partition's totals, and rows meet
+    it by partition and block: a partition with a third of the rows stays spread out.
+    """
+    keys = [*partition_by, *[f"_block{i}" for i in range(len(blocks))]]
+    again = {"min": F.min, "max": F.max, "count": F.sum}
+    tagged = df.withColumns({f"_block{i}": b for i, b in enumerate(blocks)})
+    small = tagged.groupBy(*keys).agg(*[getattr(F, kind)(c).alias(name) for name, (c, kind) in totals.items()])
+    whole = Window.partitionBy(*partition_by)
+    small = small.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], *[again[kind](F.col(n)).over(whole).alias(n) for n, (_, kind) in totals.items()]
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]  # null keys are keys, too
+    return tagged.join(small, same).drop(*[f"_of_{k}" for k in keys], *[k for k in keys if k not in partition_by])
+
+
 def choose_first(
     df: DataFrame,
     key: Column,

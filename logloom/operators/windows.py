@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.order import index_rows, line_block
+from logloom.functions.order import index_rows, line_block, with_totals
 
 
 # --- time gaps ---------------------------------------------------------------------------------
@@ -38,44 +38,46 @@ def delta_t(df: DataFrame, partition_by: Sequence[str] = (), micros: str = "ts_u
 # --- data-anchored time windows ----------------------------------------------------------------
 
 
-def _chain_exits(step: int, block_seconds: int):
-    """For each second that can open the chain inside a block: where the chain leaves the block."""
+#: Blocks of seconds that one block of the next level holds.
+FAN = 64
+
+
+def _exits(step: int, length: int):
+    """For each second that can open the chain inside a block of ``length``: where the chain leaves it.
+
+    ``leave`` of the input is where the chain goes on after ``entry``, in the block or beyond it.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seconds = np.sort(pdf["t"].to_numpy())
-        follower = np.searchsorted(seconds, seconds + step)
-        leave = seconds + step
-        for i in range(len(seconds) - 1, -1, -1):
-            if follower[i] < len(seconds):
+        pdf = pdf.sort_values("entry", kind="stable")
+        entry, leave = pdf["entry"].to_numpy(), pdf["leave"].to_numpy(copy=True)
+        follower = np.searchsorted(entry, leave)
+        for i in range(len(entry) - 1, -1, -1):
+            if follower[i] < len(entry):
                 leave[i] = leave[follower[i]]
-        entries = np.searchsorted(seconds, key[-1] * block_seconds + step) + 1
-        out = pd.DataFrame({"entry": seconds[:entries], "leave": leave[:entries]})
-        for name, part in zip(pdf.columns, key):
-            out[name] = part
-        return out[[*pdf.columns[: len(key)], "entry", "leave"]]
+        can_open = np.searchsorted(entry, key[-1] * length + step) + 1
+        return pdf.assign(leave=leave)[:can_open]
 
     return run
 
 
-def _walk_blocks(parts: int):
-    """Follow the chain from block to block; keep the second at which it enters each one."""
+def _followed(pdf: pd.DataFrame, wanted: int) -> pd.DataFrame:
+    """The rows that the chain meets from ``wanted`` on."""
+    pdf = pdf.sort_values("entry", kind="stable")
+    entry, leave = pdf["entry"].to_numpy(), pdf["leave"].to_numpy()
+    met, i = [], int(np.searchsorted(entry, wanted))
+    while i < len(entry):
+        met.append(i)
+        i = int(np.searchsorted(entry, leave[i]))
+    return pdf.iloc[met]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "entry"], kind="stable")
-        blocks, entry, leave = (pdf[c].to_numpy() for c in ("block", "entry", "leave"))
-        edges = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True])
-        wanted, found = np.iinfo(np.int64).min, []
-        for a, b in zip(edges[:-1], edges[1:]):
-            i = a + np.searchsorted(entry[a:b], wanted)
-            if i < b:
-                found.append((blocks[a], entry[i]))
-                wanted = leave[i]
-        out = pd.DataFrame(found, columns=["block", "entry"])
-        for name, part in zip(pdf.columns, key):
-            out[name] = part
-        return out[[*pdf.columns[:parts], "block", "entry"]]
 
-    return run
+def _follow_all(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _followed(pdf, np.iinfo(np.int64).min)
+
+
+def _follow_from(pdf: pd.DataFrame, opened: pd.DataFrame) -> pd.DataFrame:
+    return _followed(pdf, opened["entry"].iloc[0]) if len(opened) else pdf[:0]
 
 
 def time_window_starts(
@@ -83,46 +85,30 @@ def time_window_starts(
 ) -> DataFrame:
     """Starts of data-anchored windows: the first row, then always the first row at or after start+step.
 
-    The chain is sequential, so distinct seconds are cut into blocks of fixed length: every block
-    tells in parallel where the chain would leave it for each second at which it could enter (all
-    within ``step`` of its begin); walking these short maps gives the one entry per block, from which
-    the starts inside the block follow.  Returns the keys, ``start`` and ``first_index``, the
-    ``row_index`` of the first row of that second.
+    The chain is sequential, so distinct seconds are cut into blocks of fixed length and these into
+    blocks ``FAN`` times as long.  Upwards, every block tells in parallel where the chain would leave
+    it for each second at which it could enter (all within ``step`` of its begin).  A partition's
+    long blocks, one map each, are walked to get their entries; downwards, every block follows the
+    chain from its entry.  Returns the keys, ``start`` and ``first_index``, the ``row_index`` of the
+    first row of that second.
     """
     if step <= 0:
         raise ValueError("step must be positive")
     length = block_seconds or max(86_400, 64 * step)
     parts = list(partition_by)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    keys = "".join(f"`{p}` {types[p]}, " for p in parts)
-    seconds = df.groupBy(*parts, F.floor(F.col("t") / length).alias("block"), "t").agg(
-        F.min("row_index").alias("first_index")
-    )
-    exits = (
-        seconds.select(*parts, "block", "t")
-        .groupBy(*parts, "block")
-        .applyInPandas(_chain_exits(step, length), f"{keys}block long, entry long, leave long")
-    )
-    entries = exits.groupBy(*parts).applyInPandas(
-        _walk_blocks(len(parts)), f"{keys}block long, entry long"
-    )
-    nothing = F.array().cast("array<struct<t:bigint,first_index:bigint>>")
-    chain = F.aggregate(
-        "_seconds",
-        F.struct(F.col("entry").alias("wanted"), nothing.alias("starts")),
-        lambda have, s: F.when(
-            s["t"] >= have["wanted"],
-            F.struct((s["t"] + step).alias("wanted"), F.array_append(have["starts"], s).alias("starts")),
-        ).otherwise(have),
-        lambda have: have["starts"],
-    )
-    return (
-        seconds.groupBy(*parts, "block")
-        .agg(F.array_sort(F.collect_list(F.struct("t", "first_index"))).alias("_seconds"))
-        .join(entries, [*parts, "block"])
-        .select(*parts, F.explode(chain).alias("_s"))
-        .select(*parts, F.col("_s.t").alias("start"), F.col("_s.first_index").alias("first_index"))
+    block = lambda size: F.floor(F.col("entry") / size)
+    seconds = (
+        df.groupBy(*parts, F.col("t").alias("entry")).agg(F.min("row_index").alias("first_index"))
+        .withColumns({"leave": F.col("entry") + step, "block": block(length)})
     )
+    by = lambda rows, *keys: rows.groupBy(*parts, *keys)
+    short = seconds.drop("first_index")
+    exits = by(short, "block").applyInPandas(_exits(step, length), short.schema).withColumn("outer", block(length * FAN))
+    far = by(exits, "outer").applyInPandas(_exits(step, length * FAN), exits.schema)
+    opened = by(far).applyInPandas(_follow_all, far.schema)
+    inner = by(exits, "outer").cogroup(by(opened, "outer")).applyInPandas(_follow_from, exits.schema)
+    starts = by(seconds, "block").cogroup(by(inner, "block")).applyInPandas(_follow_from, seconds.schema)
+    return starts.select(*parts, F.col("entry").alias("start"), "first_index")
 
 
 def window_membership(
@@ -161,103 +147,152 @@ def time_windows(
     )
 
 
+# --- windows as spans --------------------------------------------------------------------------
+#
+# A row's ``low`` and ``high`` are the first and last window that holds it.  Rows with the same span
+# are in the same windows, so they are summed before anything is copied into windows.
+
+
+def spread(spans: DataFrame) -> DataFrame:
+    """Long form: one row per (window, row)."""
+    return spans.withColumn("window", F.explode(F.sequence("low", "high"))).drop("low", "high")
+
+
+def span_summaries(spans: DataFrame, keys: Sequence[str] = ("project",)) -> DataFrame:
+    """``n, first_line, last_line, label`` of each (keys, window) that holds rows.
+
+    With ``event`` among the keys these are the windows' event counts.  Only sums of rows with the
+    same span are copied into windows, never rows.
+    """
+    sums = lambda n: [n.alias("n"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.max("label").alias("label")]
+    named = spans.withColumns({"first_line": F.col("line"), "last_line": F.col("line")})
+    return (
+        spread(named.groupBy(*keys, "low", "high").agg(*sums(F.count(F.lit(1)))))
+        .groupBy(*keys, "window")
+        .agg(*sums(F.sum("n")))
+    )
+
+
 # --- count windows -----------------------------------------------------------------------------
 
 
-def count_windows(
+def count_spans(
     df: DataFrame, size: int, step: int | None = None, partition_by: Sequence[str] = ("project",)
 ) -> DataFrame:
-    """Windows of exactly ``size`` rows every ``step`` rows in long form; a short tail is dropped."""
+    """Spans of windows of exactly ``size`` rows every ``step`` rows; a short tail is dropped."""
     step = size if step is None else step
     if size <= 0 or step <= 0:
         raise ValueError("size and step must be positive")
-    parts = list(partition_by)
+    parts, blocks = list(partition_by), [line_block("line")]
     indexed = df
     if "row_index" not in df.columns:
-        indexed = index_rows(df, [F.col("line")], [line_block("line")], parts)
-    totals = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"))
+        indexed = index_rows(df, [F.col("line")], blocks, parts)
     first = F.greatest(F.lit(0), F.ceil((F.col("row_index") - size + 1) / step))
     last = F.least(F.floor(F.col("row_index") / step), F.floor((F.col("_rows") - size) / step))
-    joined = indexed.join(totals, parts) if parts else indexed.withColumn("_rows", totals.scalar())
     return (
-        joined.filter((F.col("_rows") >= size) & (first <= last))
-        .withColumn("window", F.explode(F.sequence(first, last)))
+        with_totals(indexed, blocks, parts, {"_rows": (F.lit(1), "count")})
+        .filter((F.col("_rows") >= size) & (first <= last))
+        .withColumns({"low": first, "high": last})
         .drop("_rows", "row_index")
     )
 
 
+def count_windows(
+    df: DataFrame, size: int, step: int | None = None, partition_by: Sequence[str] = ("project",)
+) -> DataFrame:
+    """Windows of exactly ``size`` rows every ``step`` rows in long form; a short tail is dropped."""
+    return spread(count_spans(df, size, step, partition_by))
+
+
 # --- grid windows ------------------------------------------------------------------------------
 
 
-def grid_windows(
+def grid_spans(
     df: DataFrame, size: int, step: int, partition_by: Sequence[str] = ("project",)
 ) -> DataFrame:
-    """Windows on the grid ``t0 + k·step``; empty ones and repeats of the same row range are dropped.
+    """Spans of windows on the grid ``t0 + k·step``, also of those that repeat a row range.
 
     The last k is the first whose end lies beyond the last row.
     """
-    parts = list(partition_by)
-    span = df.groupBy(*parts).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
+    edges = {"_t0": (F.col("t"), "min"), "_t1": (F.col("t"), "max")}
     since = F.col("t") - F.col("_t0")
     last_k = F.greatest(F.lit(0), F.ceil((F.col("_t1") - F.col("_t0") - size + 1) / step))
     low = F.greatest(F.lit(0), F.floor((since - size) / step) + 1)
     high = F.least(F.floor(since / step), last_k)
-    members = (
-        df.join(span, parts)
+    return (
+        with_totals(df, [line_block("line")], list(partition_by), edges)
         .filter(low <= high)
-        .withColumn("window", F.explode(F.sequence(low, high)))
+        .withColumns({"low": low, "high": high})
         .drop("_t0", "_t1")
     )
-    ranges = members.groupBy(*parts, "window").agg(
-        F.min("line").alias("_from"), F.max("line").alias("_to")
+
+
+def grid_summaries(spans: DataFrame, partition_by: Sequence[str] = ("project",)) -> DataFrame:
+    """Summaries of the grid windows; the first one of each row range stays, empty ones don't occur."""
+    parts = list(partition_by)
+    return (
+        span_summaries(spans, parts)
+        .groupBy(*parts, "first_line", "last_line")
+        .agg(F.min(F.struct("window", "n", "label")).alias("_w"))
+        .select(*parts, "_w.window", "_w.n", "first_line", "last_line", "_w.label")
     )
-    kept = ranges.groupBy(*parts, "_from", "_to").agg(F.min("window").alias("window"))
-    return members.join(kept.drop("_from", "_to"), [*parts, "window"], "left_semi")
 
 
-def hourly_windows(
+def grid_windows(
+    df: DataFrame, size: int, step: int, partition_by: Sequence[str] = ("project",)
+) -> DataFrame:
+    """Windows on the grid ``t0 + k·step`` in long form; empty ones and repeats of a row range are dropped."""
+    spans = grid_spans(df, size, step, partition_by)
+    kept = grid_summaries(spans, partition_by).select(*partition_by, "window")
+    return spread(spans).join(kept, [*partition_by, "window"], "left_semi")
+
+
+def hourly_spans(
     df: DataFrame, size_hours: float, step_hours: float, partition_by: Sequence[str] = ("project",)
 ) -> tuple[DataFrame, DataFrame]:
-    """Sliding windows whose ends move from the last row of window 0: ``(members, windows)``.
+    """Sliding windows whose ends move from the last row of window 0: ``(spans, reach)``.
 
     Window 0 is ``[t0, t0+size)`` and ends at row time ``tl``; window k ≥ 1 holds the rows with
     ``min(t0+k·step, e) <= t < tl+k·step``, where e is the end before it: ``tl+(k-1)·step``, or
-    ``t0+size`` for k = 1.  Empty windows are rows of ``windows``; when window 0 holds every row
-    there is none at all.
+    ``t0+size`` for k = 1.  When window 0 holds every row there is none at all.  ``reach`` has one
+    row per partition with its last window.
     """
     size, step = int(size_hours * 3600), int(step_hours * 3600)
-    parts = list(partition_by)
-    begin = df.groupBy(*parts).agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"))
-    reach = (
-        df.join(begin, parts)
-        .filter(F.col("t") < F.col("_t0") + size)
-        .groupBy(*parts, "_t0", "_t1")
-        .agg(F.max("t").alias("_tl"))
-        .filter(F.col("_t1") >= F.col("_t0") + size)
-        .withColumn("_last", F.floor((F.col("_t1") - F.col("_tl")) / step) + 1)
-    )
+    parts, blocks = list(partition_by), [line_block("line")]
+    timed = with_totals(df, blocks, parts, {"_t0": (F.col("t"), "min"), "_t1": (F.col("t"), "max")})
+    timed = timed.filter(F.col("_t1") >= F.col("_t0") + size)
+    zero = F.col("t") < F.col("_t0") + size
+    ended = with_totals(timed, blocks, parts, {"_tl": (F.when(zero, F.col("t")), "max")})
+    last = F.floor((F.col("_t1") - F.col("_tl")) / step) + 1
+    reach = ended.groupBy(*parts).agg(F.max(last).alias("last"))
     low_edge = F.least(F.col("_t0"), F.col("_tl") - step)
     low = F.greatest(F.lit(1), F.floor((F.col("t") - F.col("_tl")) / step) + 1)
-    high = F.least(F.col("_last"), F.floor((F.col("t") - low_edge) / step))
-    later = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    zero = F.when(F.col("t") < F.col("_t0") + size, F.array(F.lit(0).cast("long"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    members = (
-        df.join(reach, parts)
-        .withColumn("window", F.explode(F.concat(zero, later)))
-        .filter((F.col("window") != 1) | (F.col("t") >= F.col("_t0") + min(size, step)))
-        .drop("_t0", "_t1", "_tl", "_last")
-    )
-    labels = members.groupBy(*parts, "window").agg(
-        F.max("label").alias("label"), F.count(F.lit(1)).alias("n")
+    low = F.when((low == 1) & (F.col("t") < F.col("_t0") + min(size, step)), 2).otherwise(low)
+    high = F.least(last, F.floor((F.col("t") - low_edge) / step))
+    none = F.lit(None).cast("struct<low:bigint,high:bigint>")
+    span = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
+    both = F.array_compact(
+        F.array(F.when(zero, span(F.lit(0), F.lit(0))).otherwise(none), F.when(low <= high, span(low, high)).otherwise(none))
     )
+    spans = ended.withColumn("_span", F.explode(both)).withColumns({"low": F.col("_span.low"), "high": F.col("_span.high")})
+    return spans.drop("_span", "_t0", "_t1", "_tl"), reach
+
+
+def hourly_windows(
+    df: DataFrame, size_hours: float, step_hours: float, partition_by: Sequence[str] = ("project",)
+) -> tuple[DataFrame, DataFrame]:
+    """``(members, windows)`` of ``hourly_spans``: long form, and label and count of each window.
+
+    Empty windows are rows of ``windows``.
+    """
+    spans, reach = hourly_spans(df, size_hours, step_hours, partition_by)
+    keys = [*partition_by, "window"]
     windows = (
-        reach.select(*parts, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("window"))
-        .join(labels, [*parts, "window"], "left")
+        reach.select(*partition_by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("window"))
+        .join(span_summaries(spans, list(partition_by)).select(*keys, "label", "n"), keys, "left")
         .fillna(0, ["label", "n"])
     )
-    return members, windows
+    return spread(spans), windows
 
 
 # --- what a window holds -----------------------------------------------------------------------
@@ -356,7 +391,6 @@ def next_event_windows(df: DataFrame, w: int, key: str = "session_id") -> DataFr
     """
     if w <= 0:
         raise ValueError("w must be positive")
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
     placed = context_blocks(df.select(key, "pos", "event"), key, w)
     history = (
         Window.partitionBy(key, "_block").orderBy("pos").rowsBetween(-w, -1)
@@ -367,7 +401,7 @@ def next_event_windows(df: DataFrame, w: int, key: str = "session_id") -> DataFr
         .select(key, (F.col("pos") - w).alias("start"), "events", F.col("event").alias("next"))
     )
     tail = (
-        df.join(sizes, key)
+        with_totals(df, [F.floor(F.col("pos") / 100_000)], [key], {"_len": (F.lit(1), "count")})
         .filter(F.col("pos") >= F.col("_len") - w)
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "event"))).alias("_rows"), F.max("_len").alias("_len"))

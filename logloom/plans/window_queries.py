@@ -61,13 +61,7 @@ def w2_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def w3_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = windows.count_windows(views.model_rows(spark, sf_dir), 20, 8)
-    return members.groupBy("project", "window").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("line").alias("first_line"),
-        F.max("line").alias("last_line"),
-        F.max("label").alias("label"),
-    )
+    return windows.span_summaries(windows.count_spans(views.model_rows(spark, sf_dir), 20, 8))
 
 
 @query(
@@ -88,13 +82,7 @@ def w3_count_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def w4_grid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = windows.grid_windows(views.model_rows(spark, sf_dir), 3600, 1200)
-    return members.groupBy("project", "window").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("line").alias("first_line"),
-        F.max("line").alias("last_line"),
-        F.max("label").alias("label"),
-    )
+    return windows.grid_summaries(windows.grid_spans(views.model_rows(spark, sf_dir), 3600, 1200))
 
 
 _HOURLY = """, b AS (SELECT project, min(t) AS t0, max(t) AS t1 FROM rows_v GROUP BY project),
@@ -138,8 +126,8 @@ def w5_hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def w5_hourly_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = windows.hourly_windows(views.model_rows(spark, sf_dir), 6, 1)
-    return members.groupBy("project", "window", "event").agg(F.count(F.lit(1)).alias("n"))
+    spans, _ = windows.hourly_spans(views.model_rows(spark, sf_dir), 6, 1)
+    return windows.span_summaries(spans, ["project", "event"]).select("project", "window", "event", "n")
 
 
 @query(

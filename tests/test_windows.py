@@ -108,6 +108,30 @@ def test_hourly_windows(log):
     assert (found.count(), found.filter("n = 0").count()) == (8, 5)
 
 
+def test_summaries_are_those_of_the_long_form(log):
+    for times, size, step in random_logs(3, 23):
+        rows = log(times).withColumn("label", (F.col("line") % 5 == 0).cast("int"))
+        for spans in (windows.count_spans(rows, 4, 3), windows.grid_spans(rows, size, step)):
+            plain = windows.spread(spans).groupBy("project", "window").agg(
+                F.count("line").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.max("label").alias("label")
+            )
+            got = windows.span_summaries(spans).select(plain.columns)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_no_join_or_window_on_project_alone(spark, log):
+    rows = windows.ordered_rows(log(range(30)))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (windows.count_spans(rows, 4, 3), windows.grid_spans(rows, 5, 3), windows.hourly_spans(rows, 0.002, 0.001)[0]):
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            joins = [line for line in plan.splitlines() if "Join " in line]
+            assert joins and all("_block0" in line for line in joins)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_window_arrays(rows):
     df = rows([("w", 1, 10, "a", 7.0, 0), ("w", 2, 11, "b", 1.0, 1)], "k string, line long, t long, event string, dt double, label int")
     out = windows.window_arrays(df, ["k"]).first()
