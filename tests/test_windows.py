@@ -76,6 +76,19 @@ def test_time_windows_match_a_loop_with_tiny_blocks(spark, log):
         assert {k: sorted(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize("step,gaps", [(3, 4), (11, 400)])
+def test_window_starts_over_many_long_blocks(spark, step, gaps):
+    times = np.cumsum(np.random.default_rng(5).integers(0, gaps, 3000)).tolist()
+    want, wanted = [], -1
+    for i, t in enumerate(times):
+        if t >= wanted:
+            want.append((t, i))
+            wanted = t + step
+    df = spark.createDataFrame([("p", i, t) for i, t in enumerate(times)], "project string, row_index long, t long")
+    got = windows.time_window_starts(df, step, block_seconds=20).collect()
+    assert sorted((r["start"], r["first_index"]) for r in got) == want
+
+
 def test_positions_and_first_gap(log):
     members = windows.time_windows(windows.ordered_rows(log(TIMES)), 5, 3)
     got = sorted((r["start"], r["pos"], r["line"]) for r in members.collect())
