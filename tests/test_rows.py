@@ -2,12 +2,15 @@
 
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from logloom.functions import text
 from logloom.operators import annotate, features, profile, splits, vocab
 from logloom.sources import logs, sequences, xml
+from parity import compare
 
 
 def one(spark, column):
@@ -151,6 +154,21 @@ def test_stratified_allocation(rows):
         alloc({"a": 1, "b": 1}, 1)
 
 
+@pytest.mark.parametrize("kinds", [110, 119, 120, 121, 155, 400])
+def test_allocation_like_its_sql_with_any_number_of_strata(spark, tmp_path, kinds):
+    """A stratum is a type and a class of values, so a larger log has more of them than the target."""
+    data = [(k, "view" if s % 3 else "click", 25.0 * s) for k, s in enumerate(s for s in range(1, kinds + 1) for _ in range(1 + 3000 // s**2))]
+    data.append((len(data), "view", 3.0))
+    frame = spark.createDataFrame(data, "event_id long, event_type string, value double")
+    frame = frame.withColumns({"ts": F.timestamp_seconds("event_id"), "user_id": F.col("event_id") % 9})
+    frame.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events"))
+    next((tmp_path / "events").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    fault = compare(spark, con, str(tmp_path), entry.queries()["l6_allocation"], entry.oracle_sql()["l6_allocation"])
+    assert fault is None, fault
+
+
 def test_uniform_split(rows):
     df = rows([(i, int(i < 4)) for i in range(10)], "line long, y int")
     got = splits.first_share(df, "line", 0.5, ["y"]).filter("split = 'train'").groupBy("y").count().collect()
