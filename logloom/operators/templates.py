@@ -13,15 +13,23 @@ words; the tables of counts are written, so that a join can be split where a wor
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import WILDCARD, template_id, tokenize
 from logloom.session import written
 
+#: Bytes and words (eight bytes each) of the messages with one number of words that a task may mine at
+#: once.  It decides speed and disk only: more are mined by joins, with the same templates.
+TASK_BYTES = 32 << 20
+
 
 def distinct_messages(log: DataFrame, message: Column) -> DataFrame:
     """``message`` and ``key``, one row for each text that occurs; null texts have no template."""
@@ -37,8 +45,7 @@ def message_leaves(messages: DataFrame, depth: int, max_child: int) -> DataFrame
     """
     placed = messages.withColumn("leaf", F.size("words").cast("string"))
     for step in range(depth - 3):
-        word = F.get("words", F.lit(step))
-        placed = placed.withColumn("branch", F.when(word.rlike(r"(?U)\d"), WILDCARD).otherwise(word))
+        placed = placed.withColumn("branch", branch_of(F.get("words", F.lit(step))))
         branches = placed.groupBy("leaf", "branch").agg(F.count(F.lit(1)).alias("in_branch"))
         nodes = branches.groupBy("leaf").agg(F.sum("in_branch").alias("in_node"))
         wide = branches.join(nodes, "leaf").filter(F.col("in_branch") * max_child >= F.col("in_node"))
@@ -67,8 +74,69 @@ def mine_templates_by_position(
 
     Messages of one leaf have equal numbers of words.  Messages too short to reach a leaf and blank
     ones are their own templates, with single blanks between words.
+
+    Messages with equal numbers of words meet in one task if they are few enough, so that no word is
+    shuffled by itself; those of more frequent lengths are spread out and joined by words.
     """
-    messages = written(distinct_messages(log, text).withColumn("words", tokenize("message")), "messages")
+    rows = log.select(text.alias("message")).filter(F.col("message").isNotNull()).withColumn("words", tokenize("message"))
+    rows = rows.withColumn("n", F.size("words"))
+    weight = F.octet_length("message") + 8 * F.col("n")
+    frequent = rows.groupBy("n").agg(F.sum(weight).alias("weight")).filter(F.col("weight") > TASK_BYTES)
+    frequent = written(frequent.select("n"), "lengths")
+    head = F.transform(F.slice("words", 1, max(0, depth - 3)), branch_of)
+    plain = F.array_join("words", " ")
+    few = rows.join(frequent, "n", "left_anti").select(
+        "n", "message", F.when(plain != F.col("message"), plain).alias("plain"), F.array_join(head, " ").alias("head")
+    )
+    mined = few.groupBy("n").applyInArrow(mine_length(depth, threshold, max_child), "message string, template string")
+    many = rows.join(frequent, "n", "left_semi")
+    return mined.union(mine_by_joins(many, depth, threshold, max_child)) if frequent.count() else mined
+
+
+def branch_of(word: Column) -> Column:
+    return F.when(word.rlike(r"(?U)\d"), WILDCARD).otherwise(word)
+
+
+def mine_length(depth: int, threshold: float, max_child: int):
+    """Templates of all messages with one number of words; ``head`` has the branches of their first words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.group_by("message").aggregate([("plain", "min"), ("head", "min"), ("n", "min")])
+        message = first["message"].combine_chunks()
+        plain = pc.coalesce(first["plain_min"].combine_chunks(), message)
+        n = first["n_min"][0].as_py()
+        if n < max(1, depth - 2):
+            return pa.table({"message": message, "template": plain})
+        leaf = np.zeros(len(plain), np.int64)
+        heads = [h.split(" ") for h in first["head_min"].to_pylist()]
+        for step in range(depth - 3):
+            branches, at = np.unique([h[step] for h in heads], return_inverse=True)
+            node, in_node = np.unique(leaf, return_inverse=True, return_counts=True)[1:]
+            own, each, in_branch = np.unique(node * len(branches) + at, return_inverse=True, return_counts=True)
+            wide = (in_branch[each] * max_child >= in_node[node]) & (branches[at] != WILDCARD)
+            leaf = node * (len(branches) + 1) + np.where(wide, at, len(branches))
+        leaf = np.unique(leaf, return_inverse=True)[1]
+        coded = pc.split_pattern(plain, " ").flatten().dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64).reshape(-1, n)
+        cells = ((leaf[:, None] * n + np.arange(n)) * len(words) + codes).ravel()
+        _, cell, counts = np.unique(cells, return_inverse=True, return_counts=True)
+        wild = pc.index(words, WILDCARD).as_py()
+        support = np.where(codes == wild, 0, counts[cell].reshape(-1, n))
+        last = max(1, math.ceil(float(threshold) * n)) - 1
+        cut = np.partition(support, n - 1 - last, axis=1)[:, n - 1 - last] if last < n else np.zeros(len(plain), np.int64)
+        shared = np.flatnonzero(cut > 1)
+        kept = np.where(support[shared] >= cut[shared, None], codes[shared], len(words)).ravel()
+        texts = pa.concat_arrays([words, pa.array([WILDCARD], words.type)]).take(pa.array(kept))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shared) + 1, dtype=np.int32) * n), texts)
+        masked = pc.replace_with_mask(plain, pa.array(cut > 1), pc.binary_join(lists, " "))
+        return pa.table({"message": message, "template": masked})
+
+    return run
+
+
+def mine_by_joins(rows: DataFrame, depth: int, threshold: float, max_child: int) -> DataFrame:
+    """The same from joins of words, for lengths with any number of messages."""
+    messages = written(distinct_messages(rows, F.col("message")).withColumn("words", tokenize("message")), "messages")
     leaves = message_leaves(messages.filter(F.size("words") >= max(1, depth - 2)), depth, max_child)
     cells = written(leaves.select("key", "leaf", F.posexplode("words").alias("at", "word")), "cells")
     keys = ["leaf", "at", "word"]

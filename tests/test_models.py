@@ -121,6 +121,26 @@ def test_miners_do_not_depend_on_order_or_partitions(spark, rows, partitions):
     assert out.count() == 300
 
 
+@pytest.mark.parametrize("depth, threshold, max_child", [(2, 0.5, 100), (4, 0.5, 100), (4, 1.0, 3), (5, 0.3, 4), (6, 0.7, 2), (4, 1.2, 100)])
+def test_lengths_are_mined_in_tasks_or_by_joins_alike(rows, monkeypatch, depth, threshold, max_child):
+    """Where a task can hold all messages of a length, no word is written or shuffled by itself."""
+    rng = np.random.default_rng(depth)
+    words = ["a", "b", "c", "d1", "\u0663", "é", "<*>", "x<*>"]
+    lines = [" ".join(rng.choice(words, size=int(rng.integers(0, 6)))) for _ in range(300)]
+    lines += [f" {x}\u00a0\u2003 {x}\t" for x in lines[:40]] + ["", " ", None, lines[0]]
+    df, found, stems = texts(rows, *lines), {}, []
+    real = templates.written
+    monkeypatch.setattr(templates, "written", lambda frame, stem: (stems.append(stem), real(frame, stem))[1])
+    for size in (templates.TASK_BYTES, 3000, 0):
+        monkeypatch.setattr(templates, "TASK_BYTES", size)
+        out = templates.mine_templates_by_position(df, F.col("m"), depth, threshold, max_child).collect()
+        found[size] = sorted(map(tuple, out))
+        if len(found) == 1:
+            assert "cells" not in stems
+    assert "cells" in stems and len(found) == 3
+    assert len(set(map(str, found.values()))) == 1 and len(found[0]) == len({x for x in lines if x is not None})
+
+
 def test_templates_of_two_kinds_meet_wherever_they_stand(rows):
     df = texts(rows, "a b c1", "x y z1", "a b c2", "x y z2")
     assert set(mined(df, depth=3, threshold=0.5).values()) == {"a b <*>", "x y <*>"}
