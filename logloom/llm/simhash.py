@@ -24,22 +24,30 @@ LAYOUT_SAMPLE = 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Bits set in over half of the hashes of all shingles, as an unsigned number."""
+def digests(text: str | None, words: int) -> bytes:
+    """Eight bytes for each run of ``words`` words, repeats included; a shorter text is one run."""
     tokens = text.encode().translate(LOWER).split() if text else []
     if not tokens:
-        return 0
+        return b""
     joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        return int.from_bytes(xxh64_digest(joined, SEED))
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(tokens) - words + 1].tolist()
-    hashes = b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())])
+    count = max(len(tokens) - words + 1, 1)
+    starts, ends = (ends - lengths)[:count].tolist(), ends[-count:].tolist()
+    return b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends)])
+
+
+def majority(hashes: bytes) -> int:
+    """Bits set in over half of the hashes, as an unsigned number; 0 if there are none."""
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits)).tobytes())
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Bits set in over half of the hashes of all shingles, as an unsigned number."""
+    return majority(digests(text, words))
+
+
 def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from logloom.llm import audit, extraction, infill
 from logloom.llm.blocks import Paths, leaf_blocks
 from logloom.llm.layouts import sample_page
@@ -229,3 +230,53 @@ def test_rest_pairs_lose_none(spark):
     held = {r["print"]: set(r["set"]) for r in sets.collect()}
     want = {(a, b) for a in held for b in held if a < b and 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b])}
     assert len(want) > 30 and want <= found
+
+
+def alike_texts():
+    """Texts of ten families with words changed, added or moved, exact copies, and texts of one run."""
+    rng = np.random.default_rng(11)
+    out = ["", " \n ", "one run", "ONE  run", "another run", "a b " * 40, "a b " * 50]
+    for f in range(10):
+        base = [f"w{rng.integers(400)}" for _ in range(int(rng.integers(80, 200)))]
+        for k in range(8):
+            words = list(base)
+            for at in rng.choice(len(words), k // 2, replace=False):
+                words[at] = f"x{rng.integers(9)}"
+            out.append(" ".join(words[: len(words) - int(rng.integers(0, 6))]))
+        out.append(out[-1])
+    return out
+
+
+def test_near_fingerprints_link_first(spark, monkeypatch):
+    """Pairs within three bits come from the fingerprints' own probes, and no pair of 0.8 stays apart."""
+    from logloom.llm import resemblance, simhash
+
+    data, calls = alike_texts(), []
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    sets = [set(resemblance.shingles(simhash.digests(t, 5)).tolist()) for t in data]
+    bits = [simhash.fingerprint(t, 5) for t in data]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    rows = docs.select(F.struct("doc_id", "text").alias("row"))
+    schema = "row struct<doc_id: long, text: string>, print long, buckets array<long>, fingerprint long"
+    hashed = rows.mapInArrow(resemblance.print_batches(5, fingerprinted=True), schema).cache()
+    held = {r["doc_id"]: (r["print"], r["fingerprint"] % 2**64) for r in hashed.select("row.doc_id", "print", "fingerprint").collect()}
+    assert [held[d][1] for d in range(len(data))] == bits
+    met = {(r["a"], r["b"]) for r in resemblance.fingerprint_pairs(hashed.filter(F.size("buckets") > 0), 3).collect()}
+    firsts = {}
+    for d in range(len(data)):
+        if sets[d]:
+            firsts.setdefault(bits[d], set()).add(held[d][0])
+    want = {tuple(sorted((p, min(f)))) for f in firsts.values() for p in f if p != min(f)}
+    want |= {tuple(sorted((min(firsts[x]), min(firsts[y])))) for x in firsts for y in firsts if 0 < (x ^ y).bit_count() <= 3}
+    assert met == want and len(want) > 10
+
+    real = resemblance.near_links
+    monkeypatch.setattr(resemblance, "near_links", lambda prints, most: (calls.append(most), real(prints, most))[1])
+    top = list(range(len(data)))
+    for a in range(len(data)):
+        for b in range(a):
+            if alike(a, b) or not (sets[a] or sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = [low if t == high else t for t in top]
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.keep_one_copy(spark, docs, "").collect())
+    assert kept == sorted(set(top)) and calls == [3]
