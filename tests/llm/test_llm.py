@@ -453,7 +453,7 @@ def test_pipeline_keeps_clean_documents(spark, small):
     assert stage["secrets"](spark, docs, small).columns == docs.columns
     rows = corpus_pipeline.run(spark, small)
     assert rows.select("doc_id").distinct().count() > 0.8 * docs.count()
-    assert set(queries.QUERIES) >= set(queries.ORACLES) and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) >= set(queries.ORACLES) and len(queries.QUERIES) == 13
 
 
 @pytest.mark.parametrize("size", [1.0, 1e6])
