@@ -1,14 +1,17 @@
 """Evaluation, miners and detectors."""
 
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from logloom.operators import evaluate, templates
 from logloom.operators.detectors import cluster, counts, dispersion, forest, matrix, supervised
+from logloom.session import shuffles_dropped, written
 
 COUNTERS = "seq_id string, label int, num_error long, undetected_tokens long, masked_tokens long, deepSVDD_label long"
 
@@ -141,6 +144,53 @@ def test_lengths_are_mined_in_tasks_or_by_joins_alike(rows, monkeypatch, depth,
     assert len(set(map(str, found.values()))) == 1 and len(found[0]) == len({x for x in lines if x is not None})
 
 
+def test_lengths_in_parts_move_no_word_by_itself(spark, rows, monkeypatch):
+    """Parts and their cells are packed, so the tables on the way have fewer rows than messages, let alone words."""
+    rng = np.random.default_rng(8)
+    words = np.array([*"abcdefgh", "<*>", *(f"w{i}" for i in range(400))])
+    draw = lambda n: words[np.minimum(rng.geometric(0.05, n) - 1, len(words) - 1)]
+    lines = [" ".join(draw(n)) for n in (3, 7, 130) for _ in range(150)]
+    lines += [lines[200], lines[400], "left alone"]
+    found = {}
+    real = templates.written
+    monkeypatch.setattr(templates, "written", lambda frame, stem: found.setdefault(stem, real(frame, stem)))
+    monkeypatch.setattr(templates, "TASK_BYTES", 20000)
+    assert mined(texts(rows, *lines), depth=3, threshold=0.5) == loop_miner(set(lines), 0.5)
+    assert "parts" in [f.name for f in found["lengths"].schema] and found["lengths"].count() == 1
+    n, parts = found["lengths"].first()
+    assert n == 130 and parts > 10 and found["parts"].count() == parts
+    assert found["cells"].count() <= parts * parts < 150 * 130 / 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_packed_parts_are_whole(monkeypatch):
+    monkeypatch.setattr(templates, "PACK_BYTES", 40)
+    messages = ["a b", " a  b", "c" * 90 + " d", "e 1", "e 2", "a b", "\u00e9 x"]
+    plain = [None, "a b", *[None] * 5]
+    head = [m.split()[0] for m in messages]
+    same = lambda v: pa.array([v] * len(messages), pa.int64())
+    part = templates.pack_part(pa.table({"n": same(2), "part": same(5), "parts": same(9), "message": messages,
+                                         "plain": pa.array(plain, pa.string()), "head": head}))
+    own = pa.concat_tables(templates.unpacked(part["data"]))
+    assert len(part) > 1 and part["part"].to_pylist() == [5] * len(part) and sorted(own["message"].to_pylist()) == sorted(set(messages))
+    assert [r["plain"] for r in own.to_pylist() if r["message"] == " a  b"] == ["a b"]
+    assert part["heads"].to_pylist()[1:] == [None] * (len(part) - 1)
+    assert dict(zip(part["heads"][0].as_py(), part["messages"][0].as_py())) == {"a": 2, "c" * 90: 1, "e": 2, "\u00e9": 1}
+
+
+def test_shuffles_go_with_the_job_that_writes(spark, rows):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: disk.getAllFiles().size()
+    before = files()
+    with shuffles_dropped(spark):
+        out = written(spark.range(5000).groupBy((F.col("id") % 70).alias("k")).count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 70
+
+
 def test_templates_of_two_kinds_meet_wherever_they_stand(rows):
     df = texts(rows, "a b c1", "x y z1", "a b c2", "x y z2")
     assert set(mined(df, depth=3, threshold=0.5).values()) == {"a b <*>", "x y <*>"}
