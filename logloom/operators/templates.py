@@ -87,7 +87,7 @@ def mine_templates_by_position(
     rows = rows.withColumn("n", F.size("words"))
     weight = F.octet_length("message") + 8 * F.col("n")
     frequent = rows.groupBy("n").agg(F.sum(weight).alias("weight")).filter(F.col("weight") > TASK_BYTES)
-    parts = F.ceil(F.col("weight") * 2 / max(1, TASK_BYTES)).alias("parts")  # room for what comes from the others
+    parts = F.ceil(F.col("weight") * 4 / max(1, TASK_BYTES)).alias("parts")  # room for what comes from the others
     frequent = written(frequent.select("n", parts), "lengths")
     head = F.transform(F.slice("words", 1, max(0, depth - 3)), branch_of)
     plain = F.array_join("words", " ")
@@ -122,7 +122,7 @@ def mine_length(depth: int, threshold: float, max_child: int):
         leaves, leaf = np.unique(leaf, return_inverse=True)
         words, codes = coded_words(plain, n)
         _, cell, counts = message_cells(codes, len(words), leaf, len(leaves))
-        return pa.table({"message": message, "template": masked_messages(plain, words, codes, counts[cell], threshold)})
+        return pa.table({"message": message, "template": masked_messages(plain, words, codes, counts, cell, threshold)})
 
     return run
 
@@ -157,21 +157,24 @@ def message_cells(codes: np.ndarray, words: int, leaf: np.ndarray, leaves: int)
     cells = cells.ravel()
     order = np.argsort(cells)
     cells = cells[order]
-    new = np.diff(cells, prepend=-1) > 0
+    new = np.append(True, cells[1:] != cells[:-1])
     cell = np.empty(len(order), np.int32)
     cell[order] = np.cumsum(new, dtype=np.int32) - 1
     first = np.flatnonzero(new)
     return cells[first], cell.reshape(codes.shape), np.diff(first, append=len(order))
 
 
-def masked_messages(plain: pa.Array, words: pa.Array, codes: np.ndarray, support: np.ndarray, threshold: float) -> pa.Array:
+def masked_messages(
+    plain: pa.Array, words: pa.Array, codes: np.ndarray, counts: np.ndarray, cell: np.ndarray, threshold: float
+) -> pa.Array:
     """The messages with the words that are shared less widely than the last they have to keep as fields."""
     n = codes.shape[1]
-    support = np.where(codes == pc.index(words, WILDCARD).as_py(), 0, support)
+    support = counts.astype(np.min_scalar_type(counts.max()))[cell]
+    support[codes == pc.index(words, WILDCARD).as_py()] = 0
     last = max(1, math.ceil(float(threshold) * n)) - 1
     cut = np.partition(support, n - 1 - last, axis=1)[:, n - 1 - last] if last < n else np.zeros(len(plain), np.int64)
     shared = np.flatnonzero(cut > 1)
-    kept = np.where(support[shared] >= cut[shared, None], codes[shared], len(words)).ravel()
+    kept = np.where(support[shared] >= cut[shared, None], codes[shared], np.int32(len(words))).ravel()
     texts = pa.concat_arrays([words, pa.array([WILDCARD], words.type)]).take(pa.array(kept))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shared) + 1, dtype=np.int32) * n), texts)
     return pc.replace_with_mask(plain, pa.array(cut > 1), pc.binary_join(lists, " "))
@@ -321,7 +324,7 @@ def mine_part(threshold: float):
         order = np.argsort(group, kind="stable")[np.count_nonzero(group < 0) :]
         others = [x["others"].to_numpy().astype(np.int64) for x in unpacked_lists(found["others"])]
         counts[order] += np.concatenate([np.zeros(0, np.int64), *others])
-        return pa.table({"message": message, "template": masked_messages(plain, words, codes, counts[cell], threshold)})
+        return pa.table({"message": message, "template": masked_messages(plain, words, codes, counts, cell, threshold)})
 
     return run
 

@@ -154,7 +154,7 @@ def test_lengths_in_parts_move_no_word_by_itself(spark, rows, monkeypatch):
     found = {}
     real = templates.written
     monkeypatch.setattr(templates, "written", lambda frame, stem: found.setdefault(stem, real(frame, stem)))
-    monkeypatch.setattr(templates, "TASK_BYTES", 20000)
+    monkeypatch.setattr(templates, "TASK_BYTES", 50000)
     assert mined(texts(rows, *lines), depth=3, threshold=0.5) == loop_miner(set(lines), 0.5)
     assert "parts" in [f.name for f in found["lengths"].schema] and found["lengths"].count() == 1
     n, parts = found["lengths"].first()
